@@ -1,0 +1,20 @@
+"""Column functions on text."""
+
+from __future__ import annotations
+
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+@F.pandas_udf(T.StringType())
+def _nfc_lower(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", unicodedata.normalize("NFC", x.strip()).lower()))
+
+
+def nfc_lower(col: str | Column) -> Column:
+    """Without outer blanks, in NFC and lower case. Spark has no normalization, so this one runs in Python by Arrow batches."""
+    return _nfc_lower(col)
