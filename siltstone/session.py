@@ -59,3 +59,10 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """For work in Python that outweighs a shuffle: where the scan has fewer partitions than the cluster has cores for,
+    the rows are spread over four per core. Large inputs are cut finely enough by the scan and stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(4 * cores, key)
