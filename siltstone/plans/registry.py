@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from siltstone.plans import data
+from siltstone.plans import data, views
 
-MODULES = (data,)
+MODULES = (data, views)
 
 
 def queries() -> dict[str, Callable]:
