@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from siltstone.plans import data, views
+from siltstone.plans import data, relational, views
 
-MODULES = (data, views)
+MODULES = (data, views, relational)
 
 
 def queries() -> dict[str, Callable]:
