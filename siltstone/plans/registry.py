@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from siltstone.plans import data, relational, views
+from siltstone.plans import data, parsing, relational, views
 
-MODULES = (data, views, relational)
+MODULES = (data, views, relational, parsing)
 
 
 def queries() -> dict[str, Callable]:
