@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.paths import change_kind, clean_path
-from siltstone.session import scratch
+from siltstone.session import pick, scratch
 
 RUN = "path string, seq long, dead boolean, new_hash string"
 
@@ -27,6 +27,8 @@ RUN = "path string, seq long, dead boolean, new_hash string"
 class SortedRuns:
     """Runs of changes in a shared folder. ``buckets`` is the same for all runs and fixed for the life of a store."""
 
+    FEED = ("seq", "rel_path", "change_type", "new_hash")
+
     def __init__(self, spark: SparkSession, root: str | None = None, buckets: int | None = None, fan_in: int = 6):
         self.spark, self.fan_in = spark, fan_in
         self.root = root or scratch(spark, "runs")
@@ -46,6 +48,7 @@ class SortedRuns:
 
     def append(self, changes: DataFrame) -> None:
         """Adds one run from one batch of the feed, and compacts where there are more than ``fan_in`` runs."""
+        changes = pick(changes, *self.FEED)
         name = f"run_{uuid.uuid4().hex}"
         self._write(self.newest(changes), name)
         self.runs.append(name)
@@ -54,6 +57,7 @@ class SortedRuns:
 
     def append_slices(self, changes: DataFrame, arrival: str, slices: int) -> None:
         """Adds ``slices`` runs at once, one per equal span of arrival time, in a single scan of the feed."""
+        changes = pick(changes, *self.FEED, arrival)
         t = F.unix_micros(F.col(arrival).cast("timestamp"))
         lo, hi = changes.agg(F.min(t), F.max(t)).first()
         width = max(1, ((hi or 0) - (lo or 0)) // slices + 1)

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltstone.session import spread
+
 
 def psi(base: DataFrame, current: DataFrame, column: str, bins: int = 10, floor: float = 1e-6) -> DataFrame:
     """(psi, band): population stability over equal-width bins of the pooled range; bands stable < 0.1 <= moderate < 0.25 <= significant."""
@@ -196,18 +198,24 @@ def anls(pred: str, gold: str, tau: float = 0.5) -> float:
 
 
 def pair_metrics(pairs: DataFrame) -> DataFrame:
-    """pairs (id, pred, gold) with cer, wer, bleu, meteor, chrf, rouge1, rouge2, rouge_l and anls; null texts count as empty."""
-    names = ["cer", "wer", "bleu", "meteor", "chrf", "rouge1", "rouge2", "rouge_l", "anls"]
+    """pairs (id, pred, gold) with cer, wer, bleu, meteor, chrf, rouge1, rouge2, rouge_l and anls; null texts count as empty.
+
+    Distances of characters stay in the JVM; what needs words runs by Arrow batches."""
+    flat = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    p, g = flat(F.col("pred")), flat(F.col("gold"))
+    cer = F.when(g == "", (p != "").cast("double")).otherwise(F.levenshtein(p, g) / F.length(g))
+    near = F.coalesce(F.levenshtein(F.lower(p), F.lower(g)) / F.nullif(F.greatest(F.length(p), F.length(g)), F.lit(0)), F.lit(0.0))
+    names = ["wer", "bleu", "meteor", "chrf", "rouge1", "rouge2", "rouge_l"]
 
     def run(batches):
         for b in batches:
             rows = []
-            for i, p, g in zip(b["id"], b["pred"], b["gold"]):
+            for i, p, g, c, a in zip(b["id"], b["pred"], b["gold"], b["cer"], b["anls"]):
                 p, g = p or "", g or ""
-                c, w = _squash(g), _squash(g).split()
-                cer = edit_distance(_squash(p), c) / len(c) if c else float(bool(_squash(p)))
+                w = _squash(g).split()
                 wer = edit_distance(_squash(p).split(), w) / len(w) if w else float(bool(p.split()))
-                rows.append((i, cer, wer, bleu(p, g), meteor(p, g), chrf(p, g), rouge(p, g, 1), rouge(p, g, 2), rouge_l(p, g), anls(p, g)))
-            yield pd.DataFrame(rows, columns=["id", *names])
+                rows.append((i, c, a, wer, bleu(p, g), meteor(p, g), chrf(p, g), rouge(p, g, 1), rouge(p, g, 2), rouge_l(p, g)))
+            yield pd.DataFrame(rows, columns=["id", "cer", "anls", *names])
 
-    return pairs.select("id", "pred", "gold").mapInPandas(run, "id long, " + ", ".join(f"{n} double" for n in names))
+    x = spread(pairs.select("id", "pred", "gold"), "id").select("id", "pred", "gold", cer.alias("cer"), F.when(near < 0.5, 1 - near).otherwise(0.0).alias("anls"))
+    return x.mapInPandas(run, "id long, cer double, anls double, " + ", ".join(f"{n} double" for n in names))

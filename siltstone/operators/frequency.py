@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import nfc_lower
+from siltstone.session import pick
 
 
 def _changes(a: pa.Array) -> np.ndarray:
@@ -126,7 +127,7 @@ def ngram_counts(df: DataFrame, record: str, terms: str, sigma: int = 3, salts:
 
     A null record or array gives nothing; null terms end no n-gram but are left out; repeated rows of one record at
     the same place count once; an empty table gives an empty result."""
-    a = df.where(F.col(record).isNotNull()).select(F.xxhash64(record).alias("rec"), F.array_compact(terms).alias("a"))
+    a = pick(df, record, terms).where(F.col(record).isNotNull()).select(F.xxhash64(record).alias("rec"), F.array_compact(terms).alias("a"))
     s = a.select("rec", "a", F.explode(F.sequence(F.lit(0), F.size("a") - 1)).alias("at")) if sigma else a
     s = s.where(F.size("a") > 0)
     s = s.select("rec", "at", *[F.get("a", F.col("at") + k).alias(f"t{k}") for k in range(sigma)])
@@ -140,6 +141,7 @@ def token_registry(locations: DataFrame, kinds: tuple[str, ...] = ("word", "stri
     (location_key, token_kind, line, start_col, end_col); a file is a distinct location_key, kept as a 64-bit hash. Rows
     without a token, kind or location_key are left out, null positions are a position of their own, repeated rows count
     once, and an empty table gives an empty registry. This is ``suffix_counts`` with suffixes of one term."""
+    locations = pick(locations, "token", "token_kind", "location_key", "line", "start_col", "end_col")
     rows = locations.where(F.col("token_kind").isin(*kinds) & F.col("token").isNotNull() & F.col("location_key").isNotNull())
     base = rows.select(
         F.col("token_kind").alias("kind"), "token", F.xxhash64("location_key").alias("rec"),
@@ -160,7 +162,7 @@ def token_registry(locations: DataFrame, kinds: tuple[str, ...] = ("word", "stri
 def term_marks(locations: DataFrame, rare_below: int = 3, common_above: float = 0.25, salts: int = 16) -> DataFrame:
     """(token, mark, occurrence_count, file_count) of the words in fewer than ``rare_below`` or more than the share
     ``common_above`` of all distinct location_key."""
-    total = locations.agg(F.count_distinct(F.xxhash64("location_key")).alias("n")).first()["n"]  # one number
+    total = pick(locations, "location_key").agg(F.count_distinct(F.xxhash64("location_key")).alias("n")).first()["n"]  # one number
     r = token_registry(locations, ("word",), salts)
     mark = F.when(F.col("file_count") < rare_below, "rare").when(F.col("file_count") > common_above * total, "common")
     return r.withColumn("mark", mark).where(F.col("mark").isNotNull()).select("token", "mark", "occurrence_count", "file_count")

@@ -22,13 +22,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.session import materialize
+from siltstone.session import materialize, pick
 
 TREE = "id long, root long, depth int, subtree long, path_ids array<long>, path_names array<string>"
 
 
 def valid_rows(df: DataFrame, node: str, parent: str, name: str, order: str) -> DataFrame:
     """(id, parent, name) by the row of each node that was updated last; of equal times the larger parent and name."""
+    df = pick(df, node, parent, name, order)
     row = F.struct(F.col(parent).cast("long").alias("parent"), F.col(name).alias("name"))
     key = F.struct(F.col(order), F.col(parent), F.col(name))
     return df.where(F.col(node).isNotNull()).groupBy(F.col(node).cast("long").alias("id")).agg(F.max_by(row, key).alias("r")).select("id", "r.parent", "r.name")

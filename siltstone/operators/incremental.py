@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.paths import change_kind, clean_path, utc_ntz
-from siltstone.session import scratch
+from siltstone.session import pick, scratch
 
 LOW = 0xFFFFFFFF
 
@@ -40,6 +40,7 @@ def bucket_of(key, buckets: int):
 
 def valid_state(state: DataFrame, buckets: int) -> DataFrame:
     """One row per path of ``rel_path, hash, size, last_seq, updated_ts``: the one updated last."""
+    state = pick(state, "rel_path", "hash", "size", "last_seq", "updated_ts")
     updated = utc_ntz(F.col("updated_ts"), dict(state.dtypes)["updated_ts"])
     row = F.struct(F.col("last_seq").cast("long").alias("last_seq"), updated.alias("updated"), F.col("hash"), F.col("size").cast("long").alias("size"))
     order = F.struct(F.coalesce(updated, F.lit("0001-01-01").cast("timestamp_ntz")), F.coalesce(F.col("last_seq"), F.lit(-1)))
@@ -78,6 +79,7 @@ class PartitionedIncrement:
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.root}/{name}")
 
     def feed(self, changes: DataFrame) -> DataFrame:
+        changes = pick(changes, *[c for c in dict.fromkeys(changes.columns) if c in ("seq", "rel_path", "recorded_at", "change_type", "new_hash", "new_size")])
         types = dict(changes.dtypes)
         path = F.coalesce(clean_path(F.col("rel_path")), F.lit(""))
         # every column is derived from what the feed has; absent ones become null, and unused ones are pruned from the scan

@@ -66,3 +66,13 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     the rows are spread over four per core. Large inputs are cut finely enough by the scan and stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(4 * cores, key)
+
+
+def pick(df: DataFrame, *names: str) -> DataFrame:
+    """Only the named columns. Others may have the same names in another case, or the same name again: the first column of
+    exactly that name is taken."""
+    low = [c.lower() for c in df.columns]
+    if len(set(low)) == len(low):
+        return df.select(*names)
+    at = {n: df.columns.index(n) for n in names}
+    return df.toDF(*[c if at.get(c) == i else f"__{i}" for i, c in enumerate(df.columns)]).select(*names)
