@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.session import materialize, spread
+from siltstone.session import materialize, pick, spread
 
 FENCE = re.compile(r"^(```|~~~).*?^\1[^\n]*$", re.M | re.S)
 TICKS = re.compile(r"`[^`\n]*`")
@@ -94,6 +94,10 @@ FURNITURE = re.compile(
 )
 
 
+# lines longer than these can't be what the patterns above describe
+FURNITURE_MOST, STUB_MOST = 160, 200
+
+
 def prose_of(text: str) -> str:
     """The text without code and quotations; lines stay lines."""
     t = FENCE.sub("", text.replace("\r\n", "\n").replace("\r", "\n"))
@@ -116,6 +120,8 @@ SYLLABLES = re.compile(r"(?:(?:qu|[bcdfghjklmnpqrstvwxz])[aeiou])+[bcdfglmnprstx
 def filler(line: str) -> bool:
     """A line of Latin filler, of made-up syllables, or of one or two words over and over."""
     w = re.findall(r"[^\W\d_]+", line.lower())
+    if len(w) >= 5 and sum(x in SMALL for x in w) > 0.3 * len(w):
+        return False  # prose
     if len(w) >= 5 and not re.search(r"[\d_`()=/:]", line) and line.rstrip()[-1:] in ".!?":
         made = sum(bool(SYLLABLES.fullmatch(x)) for x in w)
         if made >= 0.9 * len(w) and sum(x in SMALL for x in w) <= 0.3 * len(w) and len(set(w)) >= 0.6 * len(w):
@@ -129,33 +135,46 @@ def filler(line: str) -> bool:
     return bool(re.match(r"(?i)^\W*lorem\s+ipsum\b", line))
 
 
+# what a text must hold, in lower case, for a detector to be worth running; none of them can match without
+NEEDS = {
+    "scripts": ("script", "js", "client-side", "skript", "active"),
+    "undefined": ("undefined", "nan", "[object", "invalid date", "null", "none", "#ref", "#name", "#value", "#div", "#n/a"),
+    "failed part": ("template", "undefinederror", "liquid", "twig", "smarty", "warning", "notice", "error", "deprecated", "could not", "cannot", "can't", "failed", "unable", "missing", "!!", "include", "traceback"),
+    "check page": ("you are", "unusual", "captcha", "challenge", "puzzle", "check", "squares", "images", "pictures", "tiles", "boxes", "human", "robot", "attention", "mensch", "humain", "humano"),
+}
+SLOT_MARKS = ("{", "<%", "@@", "[[", "%", "__", "$$", "~~")
+
+
 def signals(text: str) -> tuple[list[str], list[str]]:
     """(strong, weak) kinds of residue in a record's own text."""
+    low = text.lower()
     prose = prose_of(text)
     plain = QUOTED.sub(" ", prose)
     strong, weak = [], []
     for kind, rx in STRONG.items():
+        if not any(x in low for x in NEEDS[kind]):
+            continue
         m = rx.search(prose if kind in ("scripts", "undefined") else plain)
         if m:
             strong.append(kind)
-    slots = [m.group() for m in SLOT.finditer(plain)]
-    slots += [m.group() for m in BRACKET.finditer(plain) if m.group()[1:-1].split(" ")[0].lower() not in HTML_TAG]
+    slots = [m.group() for m in SLOT.finditer(plain)] if any(x in plain for x in SLOT_MARKS) else []
+    slots += [m.group() for m in (BRACKET.finditer(plain) if "[" in plain or "<" in plain or "{" in plain else ()) if m.group()[1:-1].split(" ")[0].lower() not in HTML_TAG]
     if slots:
         strong.append("slot")
     lines = [x.strip() for x in plain.split("\n") if x.strip()]
-    body = [x for x in lines if not FURNITURE.match(x)]
+    body = [x for x in lines if len(x) > FURNITURE_MOST or not FURNITURE.match(x)]
     heads = sum(bool(re.match(r"#{1,6}\s|[=-]{3,}$", x)) for x in body)
     if any(filler(x) for x in lines):
         strong.append("filler")
-    stubs = [x for x in body if STUB_LINE.match(x)]
+    stubs = [x for x in body if len(x) <= STUB_MOST and STUB_LINE.match(x)]
     if stubs and len(stubs) + heads >= len(body):
         strong.append("stub")  # nothing but headings and stubs
     elif stubs:
         weak.append("stub")
-    errors = [x for x in body if ERROR_LINE.match(x)]
-    if errors and len(body) <= 4:
+    errors = [x for x in body if ERROR_LINE.match(x)] if len(body) <= 4 else []
+    if errors:
         strong.append("error page")
-    elif errors:
+    elif len(body) <= 12 and any(ERROR_LINE.match(x) for x in body):
         weak.append("error line")
     if lines and not body:
         weak.append("furniture")
@@ -193,9 +212,9 @@ FEATURES = T.StructType([
 
 def find_residue(documents: DataFrame, files: DataFrame | None = None, copies: int = 4, hosts: int = 2) -> DataFrame:
     """(doc_id, kinds, low, copies, hosts) of the records to drop. ``files`` (file_id, file_name) gives addresses their slugs."""
-    d = documents.select("doc_id", "text", F.coalesce(F.lower(F.trim("source")), F.lit("")).alias("host"), F.col("repo"), F.col("file_id").cast("long").alias("file_id"))
+    d = pick(documents, "doc_id", "text", "source", "repo", "file_id").where("doc_id is not null").select("doc_id", "text", F.coalesce(F.lower(F.trim("source")), F.lit("")).alias("host"), F.col("repo"), F.col("file_id").cast("long").alias("file_id"))
     if files is not None:
-        names = files.where("file_id is not null").groupBy(F.col("file_id").cast("long").alias("file_id")).agg(F.max("file_name").alias("file_name"))
+        names = pick(files, "file_id", "file_name").where("file_id is not null").groupBy(F.col("file_id").cast("long").alias("file_id")).agg(F.max("file_name").alias("file_name"))
         # most records name no file: those keep out of the join, so that its null key isn't hot
         d = d.where("file_id is not null").join(names, "file_id", "left").unionByName(d.where("file_id is null").withColumn("file_name", F.lit(None).cast("string")))
     else:
