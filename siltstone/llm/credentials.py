@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.session import materialize, spread
+from siltstone.session import materialize, pick, spread
 
 try:
     import ahocorasick
@@ -189,7 +189,7 @@ def _rescan(batches: Iterator[pd.DataFrame], secrets) -> Iterator[pd.DataFrame]:
 def literal_index(texts: DataFrame) -> DataFrame:
     """(file_id, line, kind, value) of all candidates."""
     schema = T.StructType([T.StructField("file_id", T.LongType()), T.StructField("line", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("value", T.StringType())])
-    return spread(texts.where("file_id is not null and text is not null").select("file_id", "text"), "file_id").mapInPandas(_scan, schema)
+    return spread(pick(texts, "file_id", "text").where("file_id is not null and text is not null"), "file_id").mapInPandas(_scan, schema)
 
 
 def confirmed(index: DataFrame, max_owners: int = 12) -> DataFrame:
@@ -209,7 +209,7 @@ def find_credentials(texts: DataFrame, max_owners: int = 12, block: int = 200_00
     out = told
     for b in [r[0] for r in long.select("block").distinct().collect()]:  # as many as there are blocks
         words = spark.sparkContext.broadcast([r[0] for r in long.where(F.col("block") == b).select("value").collect()])  # about `block` values
-        body = spread(texts.where("file_id is not null and text is not null").select("file_id", "text"), "file_id")
+        body = spread(pick(texts, "file_id", "text").where("file_id is not null and text is not null"), "file_id")
         out = out.unionByName(body.mapInPandas(lambda it, words=words: _rescan(it, words), hit).select("file_id", "line", "start", "stop"))
     return out
 
@@ -264,4 +264,4 @@ def mask_credentials(texts: DataFrame, max_owners: int = 12) -> DataFrame:
             yield pd.DataFrame({"file_id": b["file_id"], "text": b["text"], "masked": masked})
 
     schema = T.StructType([T.StructField("file_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("masked", T.StringType())])
-    return texts.select("file_id", "text").join(spans, "file_id", "left").join(told, "file_id", "left").mapInPandas(run, schema)
+    return pick(texts, "file_id", "text").join(spans, "file_id", "left").join(told, "file_id", "left").mapInPandas(run, schema)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.session import spread
+from siltstone.session import pick, spread
 
 # Folder names by which package managers and build tools keep what nobody edits.
 VENDOR_DIRS = frozenset(
@@ -77,8 +77,13 @@ def layout(text: str) -> dict:
     """Lexes the text, lays it out canonically, and compares: expansion, uniformity and share of literals."""
     lines = [x for x in text.splitlines() if x.strip()]
     literals = tokens = chars = breaks = depth = 0
+    line_literals = line_chars = rows = literal_rows = 0
     for m in LEXEME.finditer(text):
         kind = m.lastgroup
+        if kind == "line" and line_chars:
+            rows += 1
+            literal_rows += line_literals >= 0.7 * line_chars
+            line_literals = line_chars = 0
         if kind in ("comment", "line"):
             continue
         if kind == "mark":
@@ -93,8 +98,13 @@ def layout(text: str) -> dict:
         size = m.end() - m.start()
         tokens += 1
         chars += size
+        line_chars += size
         if kind in ("string", "number") or m.group() in ("null", "true", "false", "None", "nil"):
             literals += size
+            line_literals += size
+    if line_chars:
+        rows += 1
+        literal_rows += line_literals >= 0.7 * line_chars
     code = [x for x in lines if not COMMENT.match(x)]
     masked = Counter(re.sub(r"\d+", "0", re.sub(r"0x[0-9a-f]+", "0", x.strip())) for x in code)
     same = max(masked.values(), default=0)
@@ -106,6 +116,7 @@ def layout(text: str) -> dict:
         "blank": blank,
         "uniform": same / max(1, len(code)) if len(code) >= 6 else 0.0,
         "literal": literals / max(1, chars) if tokens >= 8 else 0.0,
+        "literal_rows": literal_rows / rows if rows >= 3 else 0.0,
     }
 
 
@@ -145,7 +156,8 @@ def evidence(name: str | None, extension: str | None, size: float | None, folder
         pins = len(PINNED.findall(text))
         if pins >= 4 and pins >= 0.5 * sum(1 for v in text.splitlines() if v.strip()):
             out.append("lock file")
-        if x["literal"] >= 0.75 and ext in CODE_EXTENSIONS:
+        # by characters, and by lines, so that a few foreign lines in a table change nothing
+        if (x["literal"] >= 0.75 or (x["literal"] >= 0.5 and x["literal_rows"] >= 0.6)) and ext in CODE_EXTENSIONS:
             out.append("data")
     return list(dict.fromkeys(out))
 
@@ -168,6 +180,8 @@ def not_handwritten(files: DataFrame, texts: DataFrame, folders: DataFrame, exte
     """(file_id, kinds): the files nobody wrote by hand in their repository, with the kinds of evidence.
 
     The folder path comes from raw_location_json in any of its notations, and from the lineage table where that is null."""
+    files, texts = pick(files, "file_id", "file_name", "file_extension_id", "raw_location_json", "updated_at"), pick(texts, "file_id", "text")
+    folders, extensions, lineage = pick(folders, "folder_id", "folder_name", "updated_at"), pick(extensions, "extension_id", "extension_name"), pick(lineage, "file_id", "folder_id")
     top = F.max_by(F.struct("file_name", "file_extension_id", "raw_location_json"), F.struct("updated_at", "file_name"))
     f = files.where("file_id is not null").groupBy(F.col("file_id").cast("long").alias("file_id")).agg(top.alias("r")).select("file_id", "r.*")
     ids = F.expr("regexp_extract_all(raw_location_json, '[0-9]+', 0)")

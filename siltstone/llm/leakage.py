@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.session import spread
+from siltstone.session import pick, spread
 
 PHRASE = 4  # words of a searched phrase
 SPAN = 14  # least words of a span
@@ -202,7 +202,7 @@ def search_shard(codes: list[np.ndarray], items: Items, share: float) -> list[tu
         # words of each item covered by any phrase: at least what its spans can cover
         cover = np.unique(np.concatenate([item * 1_000_000 + p + k for k in range(PHRASE)]))
         touched = np.bincount(cover // 1_000_000, minlength=len(items.sizes))
-        for i in np.flatnonzero(touched >= share * items.sizes):
+        for i in np.flatnonzero((touched > 0) & (touched >= share * items.sizes)):
             mine = item == i
             found = spans(list(zip(q[mine].tolist(), p[mine].tolist())))
             got = set().union(*[s[0] for s in found])
@@ -253,10 +253,10 @@ def find_leaks(documents: DataFrame, items: DataFrame, share: float = 0.48, item
 
     ``share`` is a little below half, as words are counted a little differently by everybody (hyphens, numbers)."""
     spark = documents.sparkSession
-    items = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    items = pick(items, "item_id", "text").where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     blocks = max(1, -(-total // item_words))
-    docs = spread(documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id")
+    docs = spread(pick(documents, "doc_id", "text").where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id")
     out = None
     for b in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)

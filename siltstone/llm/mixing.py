@@ -12,7 +12,7 @@ Only sums per pattern reach the driver, ``max_patterns`` at most (checked). Cumu
 buckets and within them, so no source, however large, is ordered in one task.
 
 Defined results: sources are compared in lower case without outer blanks; null or unlisted sources belong to no target
-but count for the size of all documents; null and empty texts have no tokens; rows without an id are left out; repeated
+but count for the size of all documents; null and empty texts have no tokens and are never selected; rows without an id are left out; repeated
 ids are documents of their own; repeated targets add their shares and allow the larger number of repetitions; null
 shares are 0 and null repetitions 1; shares need not add up to one; empty documents give empty results, with all quotas 0.
 """
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.session import materialize, spread
+from siltstone.session import materialize, pick, spread
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how the vocabulary's authors cut text before merging.
@@ -51,13 +51,13 @@ def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFram
 
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("source", T.StringType()), T.StructField("tokens", T.LongType())])
     clean = F.nullif(F.lower(F.trim("source")), F.lit(""))
-    return spread(documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), clean.alias("source"), "text"), "doc_id").mapInPandas(run, schema)
+    return spread(pick(documents, "doc_id", "source", "text").where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), clean.alias("source"), "text"), "doc_id").mapInPandas(run, schema)
 
 
 def clean_targets(targets: DataFrame) -> dict[str, tuple[float, int]]:
     """source: (share, most repetitions)."""
     rows = (
-        targets.where("source is not null").groupBy(F.lower(F.trim("source")).alias("source"))
+        pick(targets, "source", "target_share", "max_repeats").where("source is not null").groupBy(F.lower(F.trim("source")).alias("source"))
         .agg(F.sum(F.coalesce("target_share", F.lit(0.0))).alias("share"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("most"))
     )
     return {r["source"]: (float(r["share"]), int(r["most"])) for r in rows.collect()}
@@ -139,7 +139,7 @@ class Mix:
         own = counts.join(F.broadcast(listed.withColumn("listed", F.lit(True))), "source", "left")  # as many rows as targets
         self.documents = own.select("doc_id", "tokens", F.when(F.col("listed"), F.array("source")).otherwise(F.array().cast("array<string>")).alias("pattern"))
         if memberships is not None:
-            more = memberships.select("doc_id", F.lower(F.trim("source")).alias("source")).join(F.broadcast(listed), "source").groupBy("doc_id").agg(F.collect_set("source").alias("more"))
+            more = pick(memberships, "doc_id", "source").select("doc_id", F.lower(F.trim("source")).alias("source")).join(F.broadcast(listed), "source").groupBy("doc_id").agg(F.collect_set("source").alias("more"))
             self.documents = self.documents.join(more, "doc_id", "left").select("doc_id", "tokens", F.array_sort(F.array_distinct(F.concat("pattern", F.coalesce("more", F.array().cast("array<string>"))))).alias("pattern"))
         self.documents = materialize(self.documents, "mix")
         sums = self.documents.groupBy("pattern").agg(F.sum("tokens").alias("tokens"))
@@ -166,7 +166,7 @@ class Mix:
                     arcs.append((list(p), s, at, at + f, size))
                     at += f
         spans = self.spark.createDataFrame(arcs, "pattern array<string>, source string, lo long, hi long, size long")
-        d = self.documents.where(F.size("pattern") > 0).withColumn("h", F.xxhash64("doc_id", F.lit(self.seed)))
+        d = self.documents.where((F.size("pattern") > 0) & (F.col("tokens") > 0)).withColumn("h", F.xxhash64("doc_id", F.lit(self.seed)))
         d = d.withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 20), F.lit(BUCKETS)).cast("int"))
         by = d.groupBy("pattern", "bucket").agg(F.sum("tokens").alias("t"))  # patterns x 4096 rows at most
         before = by.withColumn("base", F.sum("t").over(Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).select("pattern", "bucket", F.coalesce("base", F.lit(0)).alias("base"))
