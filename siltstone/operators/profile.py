@@ -60,6 +60,11 @@ def pearson_pairs(df: DataFrame, columns: list[str] | None = None, least: float
     cols = [c for c in (columns or df.columns) if kinds[c] in NUMBERS or kinds[c].startswith("decimal")]
     pairs = list(combinations(cols, 2))
     v = {c: _clean(df, c, kinds[c]).cast("double") for c in cols}
-    aggs = [F.corr(F.when(v[b].isNotNull(), v[a]), F.when(v[a].isNotNull(), v[b])).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]
+
+    def corr(a: str, b: str):
+        x, y = F.when(v[b].isNotNull(), v[a]), F.when(v[a].isNotNull(), v[b])
+        return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))  # a constant column has no correlation
+
+    aggs = [corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]
     flat = df.agg(*aggs).select(F.inline(F.array(*[F.struct(F.lit(a).alias("left_column"), F.lit(b).alias("right_column"), F.round(F.nanvl(f"r{i}", F.lit(None).cast("double")), 6).alias("r")) for i, (a, b) in enumerate(pairs)])))
     return flat.where(F.abs("r") >= least).orderBy(F.abs("r").desc(), "left_column", "right_column").limit(most)

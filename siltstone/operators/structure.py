@@ -192,8 +192,11 @@ def _typed(v: str) -> str:
 def settings(text: str) -> list[tuple]:
     """Key paths and values of a settings file in JSON, TOML, INI, indented or KEY=value form, tried in this order."""
     t = text.strip()
-    if t[:1] in "{[":
-        return [("json", *r) for r in _flat(json.loads(t), "", 0)]
+    try:
+        if t[:1] in ("{", "["):
+            return [("json", *r) for r in _flat(json.loads(t), "", 0)]
+    except ValueError:
+        pass
     try:
         if re.search(r"(?m)^\s*\[", t) or re.search(r"(?m)^\w+\s*=\s*[\"\[{\d]", t):
             return [("toml", *r) for r in _flat(tomllib.loads(t), "", 0)]
@@ -226,7 +229,7 @@ def log_records(text: str) -> list[tuple]:
     """Log records: a stamp, a level and a message that may go on over lines."""
     out: list[list] = []
     for i, x in enumerate(text.split("\n"), 1):
-        m = re.match(r"\[?((?:\d{4}-\d\d-\d\d[T ])?\d\d:\d\d:\d\d\S*)\]?\s+\[?(TRACE|DEBUG|INFO|WARN(?:ING)?|ERROR|FATAL|CRITICAL)\]?:?\s+(.*)", x.rstrip("\r"))
+        m = re.match(r"\[?((?:\d{4}-\d\d-\d\d[T ])?\d\d:\d\d:\d\d[^\s\]]*)\]?\s+\[?(TRACE|DEBUG|INFO|WARN(?:ING)?|ERROR|FATAL|CRITICAL)\]?:?\s+(.*)", x.rstrip("\r"))
         if m:
             out.append([m[1], m[2], m[3], i])
         elif out and x[:1] in " \t" and x.strip():

@@ -63,7 +63,7 @@ def config_settings(spark, d):
     return X.extract(_sources(spark, d, ".json", ".yaml", ".ini", ".env"), "file_id", "text", X.settings, X.SETTINGS).groupBy("syntax", "value_type").agg(F.count("*").alias("settings"))
 
 
-@query("SELECT m AS level, count(*) AS records FROM (SELECT regexp_extract(rtrim(l, chr(13)), '^\\[?(?:(?:\\d{4}-\\d\\d-\\d\\d[T ])?\\d\\d:\\d\\d:\\d\\d\\S*)\\]?\\s+\\[?(TRACE|DEBUG|INFO|WARN(?:ING)?|ERROR|FATAL|CRITICAL)\\]?:?\\s+', 1) AS m FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents)) WHERE m <> '' GROUP BY 1")
+@query("SELECT m AS level, count(*) AS records FROM (SELECT regexp_extract(rtrim(l, chr(13)), '^\\[?(?:(?:\\d{4}-\\d\\d-\\d\\d[T ])?\\d\\d:\\d\\d:\\d\\d[^\\s\\]]*)\\]?\\s+\\[?(TRACE|DEBUG|INFO|WARN(?:ING)?|ERROR|FATAL|CRITICAL)\\]?:?\\s+', 1) AS m FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents)) WHERE m <> '' GROUP BY 1")
 def log_levels(spark, d):
     return X.extract(table(spark, d, "documents"), "doc_id", "text", X.log_records, X.LOGS).groupBy("level").agg(F.count("*").alias("records"))
 

@@ -222,7 +222,7 @@ def scaled_size(spark, d):
     return t(spark, d, "documents").select("doc_id", v.alias("value"), u.alias("unit"))
 
 
-@query(r"""SELECT DISTINCT file_id, regexp_extract(file_name, '^(\.?[^.]*)', 1) AS stem, regexp_extract(file_name, '^\.?[^.]*\.(.*)$', 1) AS extension, lower(regexp_extract(file_name, '[^.](\.[^.]+)$', 1)) AS suffix FROM file_details""")
+@query(r"""SELECT DISTINCT file_id, regexp_extract(file_name, '^(\.?[^.]*)', 1) AS stem, regexp_extract(file_name, '^\.?[^.]+\.(.*)$', 1) AS extension, lower(regexp_extract(file_name, '[^.](\.[^.]+)$', 1)) AS suffix FROM file_details""")
 def split_names(spark, d):
     a, b = S.split_name(F.col("file_name"))
     return t(spark, d, "file_details").select("file_id", a.alias("stem"), b.alias("extension"), S.last_suffix(F.col("file_name")).alias("suffix")).distinct()
