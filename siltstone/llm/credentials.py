@@ -102,6 +102,13 @@ def decoded(value: str) -> str | None:
     return t if re.fullmatch(r"[^\s:]+:[^\s]{4,}", t) and t.isprintable() else None
 
 
+# a line without any of these holds nothing that the patterns above could find
+HINT = re.compile(
+    r"""(?xi)pass|pwd|pw\b|kenn?wort|clave|senha|wachtwoord|parola|has[lł]o|contrase|secret|credential|key|token|auth|api|:// | curl|mysql|mariadb|docker|podman|helm|\baz\b|redis-cli|wget | uid|server\s*=|account
+    | A(?:KI|SI|GP|RO)A[0-9A-Z] | gh[a-z]_ | github_pat | glpat- | xox[a-z]- | _live_ | npm_ | pypi- | eyJ | AIza | SG\. | ya29 | hf_ | dop_v1 | sk- | ["']\s*[+.]\s*["'] | -----BEGIN"""
+)
+
+
 def scan_line(line: str) -> list[tuple[str, str]]:
     """(kind, value) of what stands in the line like a credential; values as written, without quotes."""
     out = []
@@ -144,7 +151,7 @@ def candidates(text: str) -> list[tuple[int, str, str]]:
     out = []
     lines = text.split("\n")
     for i, line in enumerate(lines):
-        if len(line) < 8:
+        if len(line) < 8 or not HINT.search(line):
             continue
         line = line.rstrip("\r")
         if PEM.search(line):
