@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.operators import findings as N
+from siltstone.operators import matching as M
 from siltstone.operators import structure as X
 from siltstone.operators.catalog import export
 from siltstone.operators.changelog import SortedRuns
@@ -153,3 +155,26 @@ SELECT round(sum((cov - c0) * (risk + r0) / 2), 6) AS aurc FROM l""")
 def risk_area(spark, d):
     x = table(spark, d, "events").select(F.floor("value").cast("int").alias("confidence"), (F.col("event_type") == "purchase").alias("correct"))
     return aurc(x).select(F.round("aurc", 6).alias("aurc"))
+
+
+@query("""WITH t AS (SELECT file_id, replace(text, chr(13) || chr(10), chr(10)) AS x, text FROM file_texts), l AS (SELECT file_id, x, text, string_split(x, chr(10)) AS ls FROM t),
+c AS (SELECT file_id, len(list_filter(ls, lambda y: length(y) > 120)) AS a, len(list_filter(ls, lambda y: regexp_matches(y, '[ \\t]+$'))) AS b, len(list_filter(ls, lambda y: starts_with(y, chr(9)))) AS tb, len(list_filter(ls, lambda y: starts_with(y, ' '))) AS sp,
+CASE WHEN length(x) > 0 AND NOT ends_with(x, chr(10)) THEN 1 ELSE 0 END AS nl, len(regexp_extract_all(x, '\\b(?:TODO|FIXME|XXX|HACK)\\b')) AS td FROM l),
+r AS (SELECT file_id, 'long_lines' AS rule, 'info' AS severity, a AS n FROM c UNION ALL SELECT file_id, 'trailing_whitespace', 'info', b FROM c UNION ALL SELECT file_id, 'mixed_indentation', 'warning', CASE WHEN tb > 0 AND sp > 0 THEN tb + sp ELSE 0 END FROM c
+UNION ALL SELECT file_id, 'missing_trailing_newline', 'info', nl FROM c UNION ALL SELECT file_id, 'todo_markers', 'info', td FROM c) SELECT * FROM r WHERE n > 0""")
+def quality_findings(spark, d):
+    return N.quality_findings(table(spark, d, "file_texts"), "file_id", "text")
+
+
+@query()
+def summaries(spark, d):
+    """Extractive summary and script of every document."""
+    return table(spark, d, "documents").select("doc_id", N.summary(F.col("text")).alias("summary"), N.dominant_script(F.col("text")).alias("script"))
+
+
+@query()
+def answer_scores(spark, d):
+    """Word statistics of evaluation items as questions, with a document's lines as contexts."""
+    items = table(spark, d, "eval_items").select(F.col("item_id").alias("case_id"), F.regexp_extract("text", r"([^.]*)$", 1).alias("question"), "text", F.array("text").alias("contexts"))
+    cases = items.select("case_id", "question", F.regexp_extract("text", r"^([^.]*\.)", 1).alias("answer"), "contexts", F.col("text").alias("reference"))
+    return M.answer_scores(cases)

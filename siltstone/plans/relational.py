@@ -11,7 +11,7 @@ from siltstone.operators import linkage, profile, retention
 from siltstone.operators.hierarchy import hierarchy
 from siltstone.operators.textscan import lines
 from siltstone.plans.data import _CLEAN, _TREE, _folders
-from siltstone.session import table
+from siltstone.session import spread, table
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -286,7 +286,7 @@ def redacted_texts(spark, d):
 def lexical(spark, d):
     """Words, distinct words, sentences, syllables and the readability formulas of every document."""
     w, s = S.words(F.col("text")), S.sentences(F.col("text"))
-    x = t(spark, d, "documents").select("doc_id", w.alias("w"), F.greatest(F.size(s), F.lit(1)).alias("n_sentences"))
+    x = spread(t(spark, d, "documents").select("doc_id", "text"), "doc_id").select("doc_id", w.alias("w"), F.greatest(F.size(s), F.lit(1)).alias("n_sentences"))
     syl = F.transform("w", S.syllables)
     x = x.select("doc_id", "n_sentences", F.size("w").alias("n_words"), F.size(F.array_distinct("w")).alias("distinct_words"), F.aggregate(syl, F.lit(0), lambda a, v: a + v).alias("n_syllables"), F.aggregate("w", F.lit(0), lambda a, v: a + F.length(v)).alias("n_chars"), F.size(F.filter(syl, lambda v: v >= 3)).alias("n_complex"))
     r = S.readability(*[F.col(c) for c in ("n_words", "n_sentences", "n_syllables", "n_chars", "n_complex")])
