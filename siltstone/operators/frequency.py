@@ -106,23 +106,24 @@ def stack_counts(batches: Iterator[pa.RecordBatch], sigma: int) -> Iterator[pa.R
     yield flush()
 
 
-def suffix_counts(suffixes: DataFrame, sigma: int, occ: list[str], salts: int = 16) -> DataFrame:
+def suffix_counts(suffixes: DataFrame, sigma: int, occ: list[str], salts: int | None = None) -> DataFrame:
     """(gram array<string>, occurrences, records) of every n-gram up to ``sigma`` terms.
 
     ``suffixes`` has t0..t{sigma-1} (null beyond the suffix; t0 never null), rec (long: the record) and the columns
-    ``occ`` which with rec identify an occurrence. ``salts`` parts per first term, by record."""
+    ``occ`` which with rec identify an occurrence. ``salts`` parts per first term, by record;
+    as many as shuffle partitions if not given, so that a term in most rows still uses them all."""
     names = [f"t{k}" for k in range(sigma)]
     parts = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = (
         suffixes.select(*names, "rec", *occ)
-        .repartition(parts, F.col("t0"), F.pmod(F.xxhash64("rec"), F.lit(salts)))
+        .repartition(parts, F.col("t0"), F.pmod(F.xxhash64("rec"), F.lit(salts or parts)))
         .sortWithinPartitions(*[F.col(c).desc_nulls_last() for c in names], "rec", *occ)
     )
     part = rows.mapInArrow(lambda it: stack_counts(it, sigma), "gram array<string>, occurrences long, records long")
     return part.groupBy("gram").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
 
-def ngram_counts(df: DataFrame, record: str, terms: str, sigma: int = 3, salts: int = 16) -> DataFrame:
+def ngram_counts(df: DataFrame, record: str, terms: str, sigma: int = 3, salts: int | None = None) -> DataFrame:
     """Counts of all n-grams of 1..sigma terms in the array column ``terms`` over all records.
 
     A null record or array gives nothing; null terms end no n-gram but are left out; repeated rows of one record at
@@ -134,7 +135,7 @@ def ngram_counts(df: DataFrame, record: str, terms: str, sigma: int = 3, salts:
     return suffix_counts(s, sigma, ["at"], salts)
 
 
-def token_registry(locations: DataFrame, kinds: tuple[str, ...] = ("word", "string"), salts: int = 16) -> DataFrame:
+def token_registry(locations: DataFrame, kinds: tuple[str, ...] = ("word", "string"), salts: int | None = None) -> DataFrame:
     """A fresh registry (token_kind, token, occurrence_count, file_count) from token_locations.
 
     Words are compared without outer blanks, in NFC and lower case; other kinds as they are. An occurrence is a distinct
@@ -159,7 +160,7 @@ def token_registry(locations: DataFrame, kinds: tuple[str, ...] = ("word", "stri
     )
 
 
-def term_marks(locations: DataFrame, rare_below: int = 3, common_above: float = 0.25, salts: int = 16) -> DataFrame:
+def term_marks(locations: DataFrame, rare_below: int = 3, common_above: float = 0.25, salts: int | None = None) -> DataFrame:
     """(token, mark, occurrence_count, file_count) of the words in fewer than ``rare_below`` or more than the share
     ``common_above`` of all distinct location_key."""
     total = pick(locations, "location_key").agg(F.count_distinct(F.xxhash64("location_key")).alias("n")).first()["n"]  # one number

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.session import materialize, pick
+from siltstone.session import materialize, pick, salted_join
 
 TREE = "id long, root long, depth int, subtree long, path_ids array<long>, path_names array<string>"
 
@@ -37,8 +37,10 @@ def valid_rows(df: DataFrame, node: str, parent: str, name: str, order: str) ->
 
 def links(nodes: DataFrame) -> DataFrame:
     """(id, name, up): up is null where the parent is null or has no row."""
-    known = nodes.select(F.col("id").alias("parent")).withColumn("known", F.lit(True))
-    return nodes.join(known, "parent", "left").select("id", "name", F.when(F.col("known"), F.col("parent")).alias("up"))
+    # only nodes that are a parent are looked up, so little is repeated for the salts
+    parents = nodes.where("parent is not null").select("parent").distinct()
+    known = parents.join(nodes.select(F.col("id").alias("parent")), "parent", "left_semi").withColumn("known", F.lit(True))
+    return salted_join(nodes, known, "parent", "id").select("id", "name", F.when(F.col("known"), F.col("parent")).alias("up"))
 
 
 def peel_in_memory(ids: np.ndarray, up: np.ndarray, hops: np.ndarray, acc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -176,7 +178,8 @@ def hierarchy(nodes: DataFrame, paths: bool = True, finish_rows: int = 200_000)
         above = done.select(F.col("id").alias("up"), F.col("root").alias("r"), F.col("depth").alias("d"), F.col("path_ids").alias("pi"), F.col("path_names").alias("pn"))
         below = done.select(F.col("id").alias("child"), F.col("subtree").alias("s"))
         # a removed leaf has all of its subtree in acc; a node between two others has that of its child besides
-        here = out.join(above, "up", "left").join(below, "child", "left")
+        needed = above.join(out.select("up").distinct(), "up", "left_semi")
+        here = salted_join(out, needed, "up", "id").join(below, "child", "left")
         cut = F.coalesce(F.col("d") < 0, F.lit(False))
         here = here.select(
             "id", F.coalesce("r", "id").alias("root"),

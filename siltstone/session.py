@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -76,3 +77,11 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
         return df.select(*names)
     at = {n: df.columns.index(n) for n in names}
     return df.toDF(*[c if at.get(c) == i else f"__{i}" for i, c in enumerate(df.columns)]).select(*names)
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: str, by: str, how: str = "left", salts: int = 8) -> DataFrame:
+    """Join where one key may hold a large part of ``left``: its rows are spread over ``salts`` tasks by a hash of ``by``, and
+    ``right``, which has a key once, is repeated for each of them."""
+    l = left.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    r = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return l.join(r, [on, "__salt"], how).drop("__salt")
