@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.session import materialize, pick, spread
+from siltstone.session import materialize, pick, salted_join, spread
 
 try:
     import ahocorasick
@@ -210,7 +210,8 @@ def find_credentials(texts: DataFrame, max_owners: int = 12, block: int = 200_00
     spark = texts.sparkSession
     index = index if index is not None else materialize(literal_index(texts), "literals")
     known = materialize(confirmed(index, max_owners).withColumn("block", F.pmod(F.xxhash64("value"), F.lit(max(1, -(-index.count() // block))))), "secrets")
-    told = index.join(known.select("value"), "value", "left_semi").select("file_id", "line", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("stop"))
+    # a placeholder may hold a large part of the index, so its rows are spread
+    told = salted_join(index, known.select("value"), "value", "file_id", "left_semi").select("file_id", "line", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("stop"))
     long = known.join(index.where("kind <> 'key block'").select("value").distinct(), "value", "left_semi").where(F.length("value") >= 8)
     hit = T.StructType([T.StructField("file_id", T.LongType()), T.StructField("line", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("value", T.StringType())])
     out = told
@@ -256,7 +257,7 @@ def mask_credentials(texts: DataFrame, max_owners: int = 12) -> DataFrame:
     index = materialize(literal_index(texts), "literals")
     places = find_credentials(texts, max_owners, index=index)
     spans = places.where("start is not null").groupBy("file_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))  # of one file each
-    told = index.join(confirmed(index, max_owners).select("value"), "value", "left_semi").groupBy("file_id").agg(F.collect_set(F.struct("line", "value")).alias("told"))
+    told = salted_join(index, confirmed(index, max_owners).select("value"), "value", "file_id", "left_semi").groupBy("file_id").agg(F.collect_set(F.struct("line", "value")).alias("told"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.session import pick, spread
+from siltstone.session import pick, salted_join, spread
 
 # Folder names by which package managers and build tools keep what nobody edits.
 VENDOR_DIRS = frozenset(
@@ -188,8 +188,8 @@ def not_handwritten(files: DataFrame, texts: DataFrame, folders: DataFrame, exte
     told = f.where("raw_location_json is not null").select("file_id", F.explode(F.transform(ids, lambda x: x.cast("long"))).alias("folder_id"))
     missing = f.where("raw_location_json is null").select("file_id")
     told = told.unionByName(lineage.select(F.col("file_id").cast("long").alias("file_id"), F.col("folder_id").cast("long").alias("folder_id")).join(missing, "file_id", "left_semi"))
-    # only folders that tell anything are gathered: a few per file
-    marks = told.join(marked_folders(folders), "folder_id").groupBy("file_id").agg(F.collect_set("folder").alias("folders"))
+    # a root folder holds a large part of all rows; only folders that tell anything are gathered, a few per file
+    marks = salted_join(told, marked_folders(folders), "folder_id", "file_id", "inner").groupBy("file_id").agg(F.collect_set("folder").alias("folders"))
     ext = extensions.select(F.col("extension_id").alias("file_extension_id"), F.col("extension_name").alias("extension"))
     body = texts.where("file_id is not null").select(F.col("file_id").cast("long").alias("file_id"), "text")
     x = f.join(ext, "file_extension_id", "left").join(marks, "file_id", "left").join(body, "file_id", "left")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.session import materialize, pick, spread
+from siltstone.session import materialize, pick, salted_join, spread
 
 FENCE = re.compile(r"^(```|~~~).*?^\1[^\n]*$", re.M | re.S)
 TICKS = re.compile(r"`[^`\n]*`")
@@ -225,5 +225,6 @@ def find_residue(documents: DataFrame, files: DataFrame | None = None, copies: i
     weak = f.where((F.size("strong") == 0))
     strong = f.where(F.size("strong") > 0).select("doc_id", F.col("strong").alias("kinds"), "low", F.lit(None).cast("long").alias("copies"), F.lit(None).cast("long").alias("hosts"))
     stock = weak.groupBy("key", "host").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("copies"), F.count("*").alias("hosts"))
-    judged = weak.join(stock, "key").where(F.col("low") | ((F.col("copies") >= copies) & (F.col("hosts") >= hosts)))
+    # one stock response may be a large part of all records, so its rows are spread
+    judged = salted_join(weak, stock, "key", "doc_id", "inner").where(F.col("low") | ((F.col("copies") >= copies) & (F.col("hosts") >= hosts)))
     return strong.unionByName(judged.select("doc_id", F.col("weak").alias("kinds"), "low", "copies", "hosts"))
