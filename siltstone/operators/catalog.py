@@ -210,3 +210,34 @@ def export(df: DataFrame, path: str, kind: str) -> None:
     """To csv (with header), json or jsonl, parquet or orc, written by all tasks at once."""
     w = df.write.mode("overwrite")
     {"csv": lambda: w.option("header", True).csv(path), "json": lambda: w.json(path), "jsonl": lambda: w.json(path), "parquet": lambda: w.parquet(path), "orc": lambda: w.orc(path)}[kind]()
+
+
+# Column types of SQL dialects by Spark's.
+SQL_TYPES = {
+    "sqlite": {"bigint": "INTEGER", "int": "INTEGER", "smallint": "INTEGER", "tinyint": "INTEGER", "boolean": "INTEGER", "double": "REAL", "float": "REAL", "string": "TEXT", "*": "TEXT"},
+    "pgsql": {"bigint": "BIGINT", "int": "INTEGER", "smallint": "SMALLINT", "tinyint": "SMALLINT", "boolean": "BOOLEAN", "double": "DOUBLE PRECISION", "float": "REAL", "string": "TEXT", "*": "JSONB"},
+    "mysql": {"bigint": "BIGINT", "int": "INT", "smallint": "SMALLINT", "tinyint": "TINYINT", "boolean": "TINYINT(1)", "double": "DOUBLE", "float": "FLOAT", "string": "TEXT", "*": "JSON"},
+}
+
+
+def sql_dump(df: DataFrame, name: str, dialect: str = "sqlite") -> tuple[str, DataFrame]:
+    """(the CREATE statement, a DataFrame of INSERT statements): the statements are made by all tasks and can be written as text."""
+    kinds, quote = SQL_TYPES[dialect], "`" if dialect == "mysql" else '"'
+
+    def kind(t: str) -> str:
+        return t.upper() if t.startswith("decimal") else "TIMESTAMP" if t.startswith("timestamp") else kinds.get(t, kinds["*"])
+
+    def literal(c: str, t: str):
+        text = lambda x: F.concat(F.lit("'"), F.regexp_replace(x, "'", "''"), F.lit("'"))
+        if t == "boolean":
+            v = F.when(F.col(c), "TRUE").otherwise("FALSE") if dialect == "pgsql" else F.col(c).cast("int").cast("string")
+        elif t in ("bigint", "int", "smallint", "tinyint", "double", "float") or t.startswith("decimal"):
+            v = F.col(c).cast("string")
+        else:
+            v = text(F.col(c).cast("string") if t in ("string", "date") or t.startswith("timestamp") else F.to_json(c))
+        return F.when(F.col(c).isNull(), "NULL").otherwise(v)
+
+    cols = ", ".join(f"{quote}{c}{quote}" for c in df.columns)
+    create = f"CREATE TABLE {quote}{name}{quote} (" + ", ".join(f"{quote}{c}{quote} {kind(t)}" for c, t in df.dtypes) + ");"
+    row = F.concat_ws(", ", *[literal(c, t) for c, t in df.dtypes])
+    return create, df.select(F.concat(F.lit(f"INSERT INTO {quote}{name}{quote} ({cols}) VALUES ("), row, F.lit(");")).alias("statement"))

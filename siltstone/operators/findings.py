@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions.scalars import sentiment
+
 LONG_LINE, HUGE = 120, 1_000_000
 DATES = ("yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "dd-MM-yyyy", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "yyyy/MM/dd")
 # Unicode scripts by family, in the order in which equal counts are decided.
@@ -51,3 +53,52 @@ def parse_date(value: Column) -> Column:
     """The first of eight formats that fits, then ISO with a time."""
     v = F.trim(value)
     return F.coalesce(*[F.try_to_timestamp(v, F.lit(f)) for f in DATES], F.try_to_timestamp(v))
+
+
+def validate(df: DataFrame, key: str, rules: list[dict]) -> DataFrame:
+    """(key, field, rule): every rule that a row breaks, in one pass.
+
+    A rule is {'field', 'rule', ...} with rule one of required, type ('value': a Spark type), format ('value': date, money, mail),
+    enum ('value': list), regex ('value'), reference ('value': an array column), sum ('value': fields that must add up to
+    the field within 0.02), before ('value': a field whose date must not be earlier), range ('low', 'high'). Only
+    'required' looks at missing values; the others leave them alone."""
+    tests = []
+    for r in rules:
+        c, kind, v = F.col(r["field"]), r["rule"], r.get("value")
+        text = c.cast("string")
+        if kind == "required":
+            bad = c.isNull() | (F.trim(text) == "")
+        elif kind == "type":
+            bad = c.isNotNull() & text.try_cast(v).isNull()
+        elif kind == "format":
+            ok = {"date": lambda: parse_date(text).isNotNull(), "money": lambda: parse_money(text).isNotNull(), "mail": lambda: text.rlike(r"^[\w.+-]+@[\w-]+\.[\w.-]+$")}[v]()
+            bad = c.isNotNull() & ~ok
+        elif kind == "enum":
+            bad = ~c.isin(*v)
+        elif kind == "regex":
+            bad = ~text.rlike(v)
+        elif kind == "reference":
+            bad = ~F.array_contains(F.col(v), c)
+        elif kind == "sum":
+            bad = F.abs(parse_money(text) - sum((F.coalesce(parse_money(F.col(f).cast("string")), F.lit(0.0)) for f in v), F.lit(0.0))) > 0.02
+        elif kind == "before":
+            bad = parse_date(text) > parse_date(F.col(v).cast("string"))
+        elif kind == "range":
+            n = parse_money(text)
+            bad = (n < r.get("low", float("-inf"))) | (n > r.get("high", float("inf")))
+        else:
+            raise ValueError(f"no rule {kind}")
+        tests.append(F.when(bad, F.struct(F.lit(r["field"]).alias("field"), F.lit(kind).alias("rule"))))
+    return df.select(key, F.inline(F.array_compact(F.array(*tests))))
+
+
+def attach_moods(sessions: DataFrame, prompts: DataFrame) -> DataFrame:
+    """sessions (project, ts, session_id) with (label, confidence) of the first prompt (project, ts, text) after each, if it
+    comes before the next session; sessions without one stay 'pending'."""
+    s = sessions.select("project", "ts", "session_id", F.lit(0).alias("o"), F.lit(None).cast("string").alias("text"))
+    p = prompts.select("project", "ts", F.lit(None).cast(dict(sessions.dtypes)["session_id"]).alias("session_id"), F.lit(1).alias("o"), "text")
+    w = Window.partitionBy("project").orderBy("ts", "o")
+    nxt = s.unionByName(p).withColumn("next_text", F.lead("text").over(w)).withColumn("next_o", F.lead("o").over(w)).where("o = 0")
+    label, sure = sentiment(F.col("next_text"))
+    has = F.col("next_o") == 1
+    return nxt.select("project", "ts", "session_id", F.when(has, label).otherwise("pending").alias("label"), F.when(has, sure).alias("confidence"))
