@@ -6,8 +6,8 @@ Each text is lexed, its code is written out again in a canonical layout (a state
 * perfect uniformity: nearly all lines are one line but for its numbers: **generated**;
 * literal dominance: nearly all tokens of a file with a source-code extension are literals: **data**.
 
-The head comment is read by wording (who made the file, may one edit it, where was it copied from), the file's name and
-folders by the conventions of tools. Each kind of evidence counts alone or together.
+Comments are read by wording (who made the file, may one edit it, where was it copied from), the file's name and folders
+by the conventions of tools. Each kind of evidence counts alone or together.
 
 Defined results: a null text, name or folder path gives no evidence of its kind, so a file of which nothing is known is
 taken for hand-written; an empty text likewise; repeated rows give one result each and are told apart by their id, so
@@ -120,9 +120,9 @@ def layout(text: str) -> dict:
     }
 
 
-def head_comments(text: str, most: int = 40) -> list[str]:
-    """The bodies of the comments before the first 40 lines of code are over."""
-    return [m.group(1) for x in text.splitlines()[:most] if (m := COMMENT.match(x))]
+def comments(text: str) -> list[str]:
+    """The bodies of all lines that are comments."""
+    return [m.group(1) for x in text.splitlines() if (m := COMMENT.match(x))]
 
 
 def evidence(name: str | None, extension: str | None, size: float | None, folders: list[str] | None, text: str | None) -> list[str]:
@@ -142,7 +142,7 @@ def evidence(name: str | None, extension: str | None, size: float | None, folder
     if dirs & BUILT_DIRS:
         out.append("output folder")
     if text:
-        for c in head_comments(text):
+        for c in comments(text):
             if MADE.search(c):
                 out.append("made by a tool")
             if COPIED.search(c):
