@@ -4,6 +4,9 @@ Groups are single evaluation cases (and labels), which are bounded by what a pag
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -176,3 +179,70 @@ def answer_scores(cases: DataFrame) -> DataFrame:
     )
     names = out.columns[1:]
     return out.withColumn("score", sum((F.col(c) for c in names), F.lit(0.0)) / len(names))
+
+
+# -- trees and formulas -------------------------------------------------------------------------------------------------------
+def tree_distance(a: tuple, b: tuple, cost=lambda x, y: float(x != y)) -> float:
+    """Edit distance of two ordered trees (label, [children]) by key roots; insertions and deletions cost 1."""
+
+    def post(t: tuple) -> tuple[list, list[int]]:
+        labels, left = [], []
+
+        def walk(n: tuple) -> int:
+            first = [walk(c) for c in n[1]]
+            labels.append(n[0])
+            left.append(first[0] if first else len(labels) - 1)
+            return left[-1]
+
+        walk(t)
+        return labels, left
+
+    (la, fa), (lb, fb) = post(a), post(b)
+    roots = lambda f: sorted({x: i for i, x in enumerate(f)}.values())
+    dist = np.zeros((len(la), len(lb)))
+    for i in roots(fa):
+        for j in roots(fb):
+            n, m = i - fa[i] + 2, j - fb[j] + 2
+            d = np.zeros((n, m))
+            d[:, 0], d[0, :] = np.arange(n), np.arange(m)
+            for x in range(1, n):
+                for y in range(1, m):
+                    p, q = fa[i] + x - 1, fb[j] + y - 1
+                    gap = min(d[x - 1, y], d[x, y - 1]) + 1
+                    if fa[p] == fa[i] and fb[q] == fb[j]:
+                        d[x, y] = min(gap, d[x - 1, y - 1] + cost(la[p], lb[q]))
+                        dist[p, q] = d[x, y]
+                    else:
+                        d[x, y] = min(gap, d[fa[p] - fa[i], fb[q] - fb[j]] + dist[p, q])
+    return float(dist[-1, -1])
+
+
+def table_similarity(pred: tuple, gold: tuple, structure_only: bool = False) -> float:
+    """1 - distance / size of the larger of two table trees, whose labels are (tag, text); texts differ by their edit distance."""
+    size = lambda t: 1 + sum(size(c) for c in t[1])
+
+    def cost(x, y) -> float:
+        return 1.0 if x[0] != y[0] else 0.0 if structure_only else _far(x[1], y[1])
+
+    return 1 - tree_distance(pred, gold, cost) / max(size(pred), size(gold))
+
+
+def formula_f1(pred: str, gold: str) -> float:
+    """F1 of the multisets of LaTeX tokens."""
+    cut = lambda s: Counter(re.findall(r"\\[A-Za-z]+|\\.|\d+(?:\.\d+)?|\S", s))
+    p, g = cut(pred), cut(gold)
+    if not p and not g:
+        return 1.0
+    return 2 * sum((p & g).values()) / (sum(p.values()) + sum(g.values()))
+
+
+def grounding(cases: DataFrame) -> DataFrame:
+    """cases (case_id, answer, source) to (case_id, claims, grounded, unsupported, faithfulness): a claim is grounded if the
+    source has its words in a row or 0.9 of them, unsupported below a half."""
+    claims = F.filter(F.split(F.trim(F.coalesce("answer", F.lit(""))), r"(?<=[.!?])\s+"), lambda s: F.trim(s) != "")
+    flat = lambda c: F.lower(F.regexp_replace(F.trim(c), r"\s+", " "))
+    src = flat(F.coalesce("source", F.lit("")))
+    score = F.transform(claims, lambda c: F.when(F.contains(src, flat(c)), 1.0).otherwise(coverage(c, F.col("source"))))
+    x = cases.select("case_id", score.alias("s"))
+    n = F.size("s")
+    return x.select("case_id", n.alias("claims"), F.size(F.filter("s", lambda v: v >= 0.9)).alias("grounded"), F.size(F.filter("s", lambda v: v < 0.5)).alias("unsupported"), F.coalesce(F.try_divide(F.aggregate("s", F.lit(0.0), lambda a, v: a + v), n), F.lit(1.0)).alias("faithfulness"))

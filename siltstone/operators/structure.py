@@ -274,3 +274,73 @@ def elements(text: str) -> list[tuple]:
 def element_rollup(found: DataFrame) -> DataFrame:
     """(element, occurrences, min_depth, max_depth, attributes, text_length)"""
     return found.groupBy("element").agg(F.count("*").alias("occurrences"), F.min("depth").alias("min_depth"), F.max("depth").alias("max_depth"), F.sum("attributes").alias("attributes"), F.sum("text_length").alias("text_length"))
+
+
+DEPENDENCIES = "ecosystem string, package string, constraint_text string, scope string"
+
+
+def manifest(text: str) -> list[tuple]:
+    """Dependencies of a package manifest: JSON with dependency objects, TOML projects, or a list of requirements."""
+    t = text.strip()
+    if t.startswith("{"):
+        d = json.loads(t)
+        return [("npm", n, str(v), k) for k in ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies") for n, v in (d.get(k) or {}).items()]
+    if re.search(r"(?m)^\[(?:project|tool|dependencies|package)", t):
+        d = tomllib.loads(t)
+        out = [("pypi", *_requirement(x), "dependencies") for x in d.get("project", {}).get("dependencies", [])]
+        return out + [("cargo", n, v if isinstance(v, str) else str(v.get("version")), k) for k in ("dependencies", "dev-dependencies") for n, v in d.get(k, {}).items()]
+    return [("pypi", *_requirement(x), "dependencies") for x in t.splitlines() if re.match(r"\s*[A-Za-z0-9]", x)]
+
+
+def _requirement(x: str) -> tuple[str, str | None]:
+    m = re.match(r"\s*([A-Za-z0-9][\w.-]*(?:\[[^\]]*\])?)\s*([^#;]*)", x)
+    return (m[1], m[2].strip() or None) if m else (x.strip(), None)
+
+
+CELLS = "cell_type string, line_count int, outputs int"
+
+
+def notebook(text: str) -> list[tuple]:
+    """Cells of a notebook."""
+    cells = json.loads(text)["cells"]
+    return [(c["cell_type"], len("".join(c["source"]).splitlines()), len(c.get("outputs", []))) for c in cells]
+
+
+PATCHES = "old_path string, new_path string, hunks int, added int, removed int"
+
+
+def patches(text: str) -> list[tuple]:
+    """Files of a unified diff with their hunks and numbers of lines."""
+    out: list[list] = []
+    for x in text.splitlines():
+        if x.startswith("--- "):
+            out.append([x[4:].split("\t")[0], None, 0, 0, 0])
+        elif out and x.startswith("+++ ") and out[-1][1] is None:
+            out[-1][1] = x[4:].split("\t")[0]
+        elif out and x.startswith("@@"):
+            out[-1][2] += 1
+        elif out and out[-1][2] and x[:1] in "+-":
+            out[-1][3 if x[0] == "+" else 4] += 1
+    return [tuple(r) for r in out]
+
+
+def interface_objects(text: str) -> list[tuple]:
+    """Types and fields of protocol-buffer, thrift and GraphQL definitions, as rows of ``DDL``."""
+    t = re.sub(r"//[^\n]*|/\*.*?\*/|#[^\n]*", "", text, flags=re.S)
+    out = []
+    for m in re.finditer(r"\b(message|enum|service|struct|exception|union|type|input|interface)\s+(\w+)[^{;]*\{((?:[^{}]|\{[^{}]*\})*)\}", t):
+        kind, name, body = m.groups()
+        out.append((kind, name, None, None, None))
+        for f in re.split(r"[;\n,]", body):
+            f = f.strip()
+            if p := re.match(r"(?:\d+:\s*)?(optional|required|repeated)?\s*([\w.<>]+)\s+(\w+)\s*=\s*\d+", f):
+                out.append(("field", p[3], name, p[2], p[1] != "required"))
+            elif p := re.match(r"(?:\d+:\s*)(optional|required)?\s*([\w.<>]+)\s+(\w+)$", f):
+                out.append(("field", p[3], name, p[2], p[1] != "required"))
+            elif p := re.match(r"(\w+)(?:\([^)]*\))?\s*:\s*([\w\[\]!]+)", f):
+                out.append(("field", p[1], name, p[2], not p[2].endswith("!")))
+            elif p := re.match(r"rpc\s+(\w+)\s*\(([^)]*)\)", f):
+                out.append(("method", p[1], name, p[2].strip(), None))
+            elif kind == "enum" and (p := re.match(r"([A-Z_]\w*)\b", f)):
+                out.append(("value", p[1], name, None, None))
+    return out

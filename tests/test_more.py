@@ -53,3 +53,30 @@ def test_sql_dump_loads(spark):
     con.executescript(create + "\n".join(r[0] for r in inserts.collect()))
     assert con.execute("SELECT * FROM t ORDER BY id").fetchall() == [(1, "it's", 1, 1.5, '["a"]'), (2, None, None, None, None)]
     assert sql_dump(df, "t", "pgsql")[0] == 'CREATE TABLE "t" ("id" BIGINT, "s" TEXT, "b" BOOLEAN, "d" DOUBLE PRECISION, "a" JSONB);'
+
+
+def test_more_parsers():
+    from siltstone.operators import structure as X
+
+    assert X.manifest('{"dependencies": {"a": "^1"}, "devDependencies": {"b": "2"}}') == [("npm", "a", "^1", "dependencies"), ("npm", "b", "2", "devDependencies")]
+    assert X.manifest("# c\nnumpy>=1.2 ; x\npkg\n") == [("pypi", "numpy", ">=1.2", "dependencies"), ("pypi", "pkg", None, "dependencies")]
+    assert X.manifest('[project]\ndependencies = ["a[x]>=1"]\n') == [("pypi", "a[x]", ">=1", "dependencies")]
+    assert X.notebook('{"cells": [{"cell_type": "code", "source": ["a\\n", "b"], "outputs": [1]}]}') == [("code", 2, 1)]
+    assert X.patches("--- a/x\n+++ b/x\n@@ -1 +1,2 @@\n-a\n+b\n+c\n c\n") == [("a/x", "b/x", 1, 2, 1)]
+    got = X.interface_objects("message A { required string n = 1; repeated B bs = 2; }\nenum E { X = 0; }\ntype T { id: ID!\n name: String }\nservice S { rpc Go (A) returns (B); }")
+    assert [(r[0], r[1], r[2]) for r in got] == [("message", "A", None), ("field", "n", "A"), ("field", "bs", "A"), ("enum", "E", None), ("value", "X", "E"), ("type", "T", None), ("field", "id", "T"), ("field", "name", "T"), ("service", "S", None), ("method", "Go", "S")]
+    assert [r[4] for r in got if r[0] == "field"] == [False, True, False, True]
+
+
+def test_trees_formulas_and_grounding(spark):
+    from siltstone.operators import matching as M
+
+    t = lambda *c: ("x", list(c))
+    assert M.tree_distance(("f", [("d", [("a", []), ("c", [("b", [])])]), ("e", [])]), ("f", [("c", [("d", [("a", []), ("b", [])])]), ("e", [])])) == 2.0
+    assert M.tree_distance(t(t(), t()), t(t())) == 1.0 and M.tree_distance(t(), t()) == 0.0
+    a = (("table", ""), [(("tr", ""), [(("td", "one"), []), (("td", "two"), [])])])
+    b = (("table", ""), [(("tr", ""), [(("td", "one"), []), (("td", "tow"), [])])])
+    assert M.table_similarity(a, a) == 1.0 and M.table_similarity(a, b, structure_only=True) == 1.0 and 0.8 < M.table_similarity(a, b) < 1.0
+    assert M.formula_f1(r"\frac{a}{b}", r"\frac{a}{b}") == 1.0 and M.formula_f1("", "") == 1.0 and M.formula_f1("a", "b") == 0.0
+    df = spark.createDataFrame([(1, "The cat sat. Dogs fly high.", "Here the  CAT sat. ok"), (2, None, None)], "case_id long, answer string, source string")
+    assert {r["case_id"]: (r["claims"], r["grounded"], r["unsupported"], r["faithfulness"]) for r in M.grounding(df).collect()} == {1: (2, 1, 1, 0.5), 2: (0, 0, 0, 1.0)}
