@@ -4,7 +4,7 @@ Literals which stand where a credential would (a telling name, a header, an addr
 remark, a private-key block) or look like one (issued token formats) are indexed over the whole collection with the
 files that own them. Values shared by more owners than a secret would be are placeholders and fall out; of the rare ones
 those with the structure of a usable secret are confirmed. Then every file is scanned again for the confirmed values by
-an automaton, so that a secret is also found where nothing around it tells. Confirmed values are taken in blocks of
+an automaton, so that a secret is also found where nothing around it tells. Masked are the places of both. Confirmed values are taken in blocks of
 ``block`` values: what an executor holds stays bounded, and all values meet all files.
 
 Defined results: null or empty texts have no lines; lines are ended by line feeds, a carriage return before one belongs
@@ -109,67 +109,102 @@ HINT = re.compile(
 )
 
 
-def scan_line(line: str) -> list[tuple[str, str]]:
-    """(kind, value) of what stands in the line like a credential; values as written, without quotes."""
+def pieces(line: str, start: int, stop: int) -> list[tuple[int, int]]:
+    """Where the part of the line stands, without what joins literals in it."""
+    out, at = [], start
+    for m in JOIN.finditer(line[start:stop]):
+        out.append((at, start + m.start()))
+        at = start + m.end()
+    return [(a, b) for a, b in [*out, (at, stop)] if a < b]
+
+
+def scan_line(line: str) -> list[tuple[str, str, list[tuple[int, int]]]]:
+    """(kind, value, places) of what stands in the line like a credential; values as written, without quotes. A value that
+    the source joins of several literals has a place for each of them."""
     out = []
-    for m in ISSUED.finditer(JOIN.sub("", line)):
-        out.append(("issued", m.group()))
+    parts = pieces(line, 0, len(line))
+    for m in ISSUED.finditer("".join(line[a:b] for a, b in parts)):
+        at, places = 0, []
+        for a, b in parts:  # from the joined line back to the line itself
+            s, e = max(m.start(), at), min(m.end(), at + b - a)
+            if s < e:
+                places.append((a + s - at, a + e - at))
+            at += b - a
+        out.append(("issued", m.group(), places))
     for m in ADDRESS.finditer(line):
-        out.append(("address", m.group("value")))
+        out.append(("address", m.group("value"), [m.span("value")]))
     for m in HEADER.finditer(line):
         v = m.group("value")
         if m.group("scheme").lower() == "basic":
             if decoded(v):
-                out.append(("header", v))
+                out.append(("header", v, [m.span("value")]))
         else:
-            out.append(("header", v))
+            out.append(("header", v, [m.span("value")]))
     for m in XHEADER.finditer(line):
-        out.append(("header", m.group("value")))
+        out.append(("header", m.group("value"), [m.span("value")]))
     for m in COMMAND.finditer(line):
-        out.append(("command", next(v for v in m.groups() if v)))
+        out.append(("command", m.group(m.lastgroup), [m.span(m.lastgroup)]))
     if re.search(r"(?i)\b(?:server|host|data source|uid|user id|user|accountname|endpoint)\s*=", line):
         for m in CONNECTION.finditer(line):
-            out.append(("connection", m.group("value")))
+            out.append(("connection", m.group("value"), [m.span("value")]))
     for m in NAMED.finditer(line):
         name, v = m.group("name"), m.group("value").rstrip(";,")
         if re.search(r"(?i)(?:_|^)(?:count|field|name|file|path|url|type|length|limit|id|ids|policy|hash|expir\w*|ttl|reset|prompt|label|column|index|size|min|max|regex|pattern|header|env|var)$", name.strip("\"'[]")):
             continue
         quoted = v[:1] in "\"'`"
-        v = JOIN.sub("", v).strip("\"'`") if quoted else v
+        places = [(m.start("value"), m.start("value") + len(v))]
+        if quoted:
+            places = pieces(line, *places[0])
+            v = JOIN.sub("", v)
+            head, tail = len(v) - len(v.lstrip("\"'`")), len(v) - len(v.rstrip("\"'`"))
+            v = v.strip("\"'`")
+            if v:
+                places[0] = (places[0][0] + head, places[0][1])
+                places[-1] = (places[-1][0], places[-1][1] - tail)
+                places = [(a, b) for a, b in places if a < b]
         if name.strip("\"'").lower().endswith("auth") and not decoded(v):
             continue
         if not quoted and re.search(r"[(\[]|^[A-Za-z_]\w*(?:\.[A-Za-z_]\w{0,24})+$", v):
             continue  # an expression
-        out.append(("named", v))
+        out.append(("named", v, places))
     for m in REMARK.finditer(line):
-        out.append(("remark", m.group("value").rstrip(".")))
-    return [(k, v) for k, v in out if v]
+        v = m.group("value").rstrip(".")
+        out.append(("remark", v, [(m.start("value"), m.start("value") + len(v))]))
+    return [x for x in out if x[1]]
 
 
-def candidates(text: str) -> list[tuple[int, str, str]]:
-    """(line, kind, value) of a text; a private key counts at its first line."""
+def placed(text: str) -> list[tuple[int, str, str, list[tuple[int, int]] | None]]:
+    """(line, kind, value, places) of a text, places in characters of the whole text; a private key counts at its first line
+    and has none, as its body is masked between its BEGIN and END."""
     out = []
     lines = text.split("\n")
+    begin, after = 0, 0
     for i, line in enumerate(lines):
+        begin, after = after, after + len(line) + 1
         if len(line) < 8 or not HINT.search(line):
             continue
         line = line.rstrip("\r")
         if PEM.search(line):
             rest = PEM.split(line, 1)[1]
             if PEM_BODY.match(lines[i + 1]) if i + 1 < len(lines) else False:
-                out.append((i + 1, "key block", lines[i + 1].strip()))
+                out.append((i + 1, "key block", lines[i + 1].strip(), None))
             elif len(re.findall(r"[A-Za-z0-9+/=]{32,}", rest)):
-                out.append((i + 1, "key block", rest.strip()))
-        for kind, v in scan_line(line):
+                out.append((i + 1, "key block", rest.strip(), None))
+        for kind, v, places in scan_line(line):
             if usable(v, kind) or (kind in ("header", "named") and decoded(v)):
-                out.append((i + 1, kind, v))
+                out.append((i + 1, kind, v, [(begin + s, begin + e) for s, e in places]))
     return out
 
 
+def candidates(text: str) -> list[tuple[int, str, str]]:
+    """(line, kind, value) of a text."""
+    return [c[:3] for c in placed(text)]
+
+
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        rows = [(f, *c) for f, t in zip(b["file_id"], b["text"]) if t for c in candidates(t)]
-        yield pd.DataFrame(rows, columns=["file_id", "line", "kind", "value"])
+        rows = [(f, *c) for f, t in zip(b["file_id"], b["text"]) if t for c in placed(t)]
+        yield pd.DataFrame([(*r[:4], r[4] and [{"start": s, "stop": e} for s, e in r[4]]) for r in rows], columns=["file_id", "line", "kind", "value", "places"])
 
 
 def _rescan(batches: Iterator[pd.DataFrame], secrets) -> Iterator[pd.DataFrame]:
@@ -194,8 +229,8 @@ def _rescan(batches: Iterator[pd.DataFrame], secrets) -> Iterator[pd.DataFrame]:
 
 
 def literal_index(texts: DataFrame) -> DataFrame:
-    """(file_id, line, kind, value) of all candidates."""
-    schema = T.StructType([T.StructField("file_id", T.LongType()), T.StructField("line", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("value", T.StringType())])
+    """(file_id, line, kind, value, places) of all candidates."""
+    schema = "file_id long, line int, kind string, value string, places array<struct<start: int, stop: int>>"
     return spread(pick(texts, "file_id", "text").where("file_id is not null and text is not null"), "file_id").mapInPandas(_scan, schema)
 
 
@@ -211,12 +246,12 @@ def find_credentials(texts: DataFrame, max_owners: int = 12, block: int = 200_00
     index = index if index is not None else materialize(literal_index(texts), "literals")
     known = materialize(confirmed(index, max_owners).withColumn("block", F.pmod(F.xxhash64("value"), F.lit(max(1, -(-index.count() // block))))), "secrets")
     # a placeholder may hold a large part of the index, so its rows are spread
-    told = salted_join(index, known.select("value"), "value", "file_id", "left_semi").select("file_id", "line", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("stop"))
-    long = known.join(index.where("kind <> 'key block'").select("value").distinct(), "value", "left_semi").where(F.length("value") >= 8)
+    told = salted_join(index, known.select("value"), "value", "file_id", "left_semi").select("file_id", "line", F.explode_outer("places").alias("at")).select("file_id", "line", "at.start", "at.stop")
+    words_of = known.join(index.where("kind <> 'key block'").select("value").distinct(), "value", "left_semi")
     hit = T.StructType([T.StructField("file_id", T.LongType()), T.StructField("line", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("value", T.StringType())])
     out = told
-    for b in [r[0] for r in long.select("block").distinct().collect()]:  # as many as there are blocks
-        words = spark.sparkContext.broadcast([r[0] for r in long.where(F.col("block") == b).select("value").collect()])  # about `block` values
+    for b in [r[0] for r in words_of.select("block").distinct().collect()]:  # as many as there are blocks
+        words = spark.sparkContext.broadcast([r[0] for r in words_of.where(F.col("block") == b).select("value").collect()])  # about `block` values
         body = spread(pick(texts, "file_id", "text").where("file_id is not null and text is not null"), "file_id")
         out = out.unionByName(body.mapInPandas(lambda it, words=words: _rescan(it, words), hit).select("file_id", "line", "start", "stop"))
     return out
@@ -241,35 +276,20 @@ def mask_key_blocks(text: str) -> str:
     return re.sub(r"(-{5}BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-{5})(.*?)(-{5}END|\Z)", lambda m: m[1] + re.sub(r"[A-Za-z0-9+/=]{16,}", lambda w: "*" * len(w[0]), m[2]) + m[3], text, flags=re.S)
 
 
-def mask_pieces(text: str, lines: dict[int, set[str]]) -> str:
-    """Masks the quoted pieces of values that the source joins of several literals."""
-    if not lines:
-        return text
-    rows = text.split("\n")
-    for n, values in lines.items():
-        if 0 < n <= len(rows):
-            rows[n - 1] = re.sub(r"([\"'`])((?:(?!\1).){4,})\1", lambda m: m[1] + "*" * len(m[2]) + m[1] if any(m[2] in v and m[2] != v for v in values) else m[0], rows[n - 1])
-    return "\n".join(rows)
-
-
 def mask_credentials(texts: DataFrame, max_owners: int = 12) -> DataFrame:
     """(file_id, text, masked): every text, with its credentials masked and all else unchanged."""
     index = materialize(literal_index(texts), "literals")
     places = find_credentials(texts, max_owners, index=index)
     spans = places.where("start is not null").groupBy("file_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))  # of one file each
-    told = salted_join(index, confirmed(index, max_owners).select("value"), "value", "file_id", "left_semi").groupBy("file_id").agg(F.collect_set(F.struct("line", "value")).alias("told"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             masked = []
-            for t, s, v in zip(b["text"], b["spans"], b["told"]):
+            for t, s in zip(b["text"], b["spans"]):
                 if t:
-                    lines: dict[int, set[str]] = {}
-                    for x in v if v is not None else []:
-                        lines.setdefault(int(x["line"]), set()).add(x["value"])
-                    t = mask_key_blocks(mask_pieces(mask_spans(t, [(x["start"], x["stop"]) for x in s] if s is not None else []), lines))
+                    t = mask_key_blocks(mask_spans(t, [(x["start"], x["stop"]) for x in s] if s is not None else []))
                 masked.append(t)
             yield pd.DataFrame({"file_id": b["file_id"], "text": b["text"], "masked": masked})
 
     schema = T.StructType([T.StructField("file_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("masked", T.StringType())])
-    return pick(texts, "file_id", "text").join(spans, "file_id", "left").join(told, "file_id", "left").mapInPandas(run, schema)
+    return pick(texts, "file_id", "text").join(spans, "file_id", "left").mapInPandas(run, schema)

@@ -61,3 +61,13 @@ def test_masking_keeps_everything_else(spark):
 
 def test_long_line():
     assert candidates("x" * 300_000 + "\ndb_pass = 'p3bbl3!8201X'") == [(2, "named", "p3bbl3!8201X")]
+
+
+def test_places_are_masked_whatever_stands_beside_them(spark):
+    t = "# mysql -h h.example -uapp -p9eRlBXGslIZL\npw = 'a7!Qz9'\nk = \"npm_RD1sBSbioCwklRV0\" + \"lM9ItqxO42f00BRMbTTl\" # user = \"lM9I\"\n"
+    rows = texts(spark, [(1, t), (2, "x a7!Qz9 y")])
+    m = {r["file_id"]: r["masked"] for r in mask_credentials(rows).collect()}
+    star = lambda s: "*" * len(s)
+    assert m[1] == f"# mysql -h h.example -uapp -p{star('9eRlBXGslIZL')}\npw = '******'\nk = \"{star('npm_RD1sBSbioCwklRV0')}\" + \"{star('lM9ItqxO42f00BRMbTTl')}\" # user = \"lM9I\"\n"
+    assert m[2] == "x ****** y"
+    assert {(r["file_id"], r["line"]) for r in find_credentials(rows).collect()} == {(1, 1), (1, 2), (1, 3), (2, 1)}
