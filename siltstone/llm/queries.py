@@ -38,7 +38,9 @@ def p6_masked(spark: SparkSession, d: str) -> DataFrame:
 def p6_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Rows of token_locations on lines that hold credentials, by kind of token."""
     lines = find_credentials(table(spark, d, "file_texts")).select("file_id", "line").distinct()
-    t = table(spark, d, "token_locations").where("file_id is not null").select("file_id", "line", "token_kind")
+    # the part of location_key after the colon is the file's id; file_id itself is sometimes null
+    file_id = F.coalesce("file_id", F.expr("try_cast(substring_index(location_key, ':', -1) as bigint)")).alias("file_id")
+    t = table(spark, d, "token_locations").select(file_id, "line", "token_kind")
     return t.join(lines, ["file_id", "line"], "left_semi").groupBy("token_kind").agg(F.count("*").alias("rows"))
 
 

@@ -11,3 +11,10 @@ def test_query(spark, data, name):
     else:
         df = QUERIES[name](spark, data)
         assert df.count() == (df.distinct().count() if name.endswith("_found") else df.count())
+
+
+def test_tokens_without_file_id_count(spark, tmp_path):
+    spark.createDataFrame([(7, "a = 1\ndb_pass = 'p3bbl3!8201X'\n")], "file_id long, text string").write.parquet(f"{tmp_path}/file_texts.parquet")
+    rows = [(7, "1/2:7", 2, "word"), (None, "1/2:7", 2, "word"), (None, "1/2:7", 1, "word"), (None, "1/7:8", 2, "string"), (None, "1:7", 2, "string")]
+    spark.createDataFrame(rows, "file_id long, location_key string, line int, token_kind string").write.parquet(f"{tmp_path}/token_locations.parquet")
+    assert sorted(map(tuple, QUERIES["p6_tokens"](spark, str(tmp_path)).collect())) == [("string", 1), ("word", 2)]
