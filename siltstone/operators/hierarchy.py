@@ -198,3 +198,26 @@ def descendants(tree: DataFrame) -> DataFrame:
     """(ancestor, descendant, distance): the descendant lists as rows, every node being its own at distance 0."""
     at = F.posexplode("path_ids").alias("at", "ancestor")
     return tree.where("path_ids is not null").select(F.col("id").alias("descendant"), "depth", at).select("ancestor", "descendant", (F.col("depth") - F.col("at")).cast("int").alias("distance"))
+
+
+def descendants_of_all(nodes: DataFrame, finish_rows: int = 200_000) -> DataFrame:
+    """(ancestor, descendant, distance) of every node of ``nodes`` (id, parent, name), those on and below circles too.
+
+    A circle is cut above its smallest id, which makes a tree of it and of all below it. What a node has above it in that
+    tree is one part of its ancestors; the other is what follows on the circle behind the cut. A node on a circle has all
+    others of the circle as descendants, at the distance of the way along the links, and is its own at distance 0 only."""
+    nodes = materialize(nodes, "nodes")
+    tree = materialize(hierarchy(nodes, finish_rows=finish_rows).drop("path_names"), "tree")
+    loose = tree.where("depth < 0").select("id", F.col("root").alias("low"), F.col("subtree").isNull().alias("ring"))
+    cut = nodes.join(loose.select("id", "low"), "id").select("id", F.when(F.col("id") != F.col("low"), F.col("parent")).alias("parent"), "name")
+    below = materialize(descendants(hierarchy(cut, finish_rows=finish_rows)), "below")
+    ring = loose.where("ring").select(F.col("id").alias("ancestor"), "low")
+    # the place of each on its circle: its distance from the cut
+    at = below.join(ring.select(F.col("low").alias("ancestor")).distinct(), "ancestor", "left_semi").select(F.col("descendant").alias("ancestor"), F.col("distance").alias("at"))
+    at = materialize(ring.join(at, "ancestor"), "ring")
+    length = at.groupBy("low").agg((F.max("at") + 1).alias("length"))
+    # where each node comes to the circle: the last place of it on its way down from the cut
+    entry = below.join(at, "ancestor").groupBy("low", "descendant").agg(F.max("at").alias("entry"), F.min("distance").alias("hops"))
+    behind = salted_join(entry, at.join(length, "low"), "low", "descendant", "inner").where("at > entry")
+    behind = behind.select("ancestor", "descendant", (F.col("hops") + F.col("entry") - F.col("at") + F.col("length")).cast("int").alias("distance"))
+    return descendants(tree).unionByName(below).unionByName(behind)

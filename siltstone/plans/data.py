@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.operators.changelog import SortedRuns
 from siltstone.operators.frequency import ngram_counts, term_marks, token_registry
-from siltstone.operators.hierarchy import descendants, hierarchy, valid_rows
+from siltstone.operators.hierarchy import descendants_of_all, hierarchy, valid_rows
 from siltstone.operators.incremental import PartitionedIncrement
 from siltstone.session import table
 
@@ -56,7 +56,7 @@ def p3_paths(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
     """All descendants of every folder, as rows."""
-    return descendants(hierarchy(_folders(spark, d)).drop("path_names")).select(F.col("ancestor").alias("folder_id"), F.col("descendant").alias("descendant_id"), "distance")
+    return descendants_of_all(_folders(spark, d)).select(F.col("ancestor").alias("folder_id"), F.col("descendant").alias("descendant_id"), "distance")
 
 
 def p3_lineage_check(spark: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from siltstone.operators.hierarchy import descendants, hierarchy, valid_rows
+from siltstone.operators.hierarchy import descendants, descendants_of_all, hierarchy, valid_rows
 
 
 def brute(parent):
@@ -64,3 +64,17 @@ def test_valid_rows(spark):
 def test_wide_parent_and_empty(spark):
     check(spark, {0: None} | {i: 0 for i in range(1, 400)}, finish_rows=50)
     assert hierarchy(nodes(spark, {1: None}).where("id > 5")).count() == 0
+
+
+@pytest.mark.parametrize("finish", [1000, 4])
+def test_descendants_on_and_below_circles(spark, finish):
+    parent = TREE | {40: 41, 41: 42, 42: 43, 43: 40, 44: 42, 45: 44, 46: 44, 22: 21}
+    want = set()
+    for i in parent:
+        x, n, seen = i, 0, set()
+        while x in parent and x not in seen:
+            seen.add(x)
+            want.add((x, i, n))
+            x, n = parent[x], n + 1
+    got = [tuple(r) for r in descendants_of_all(nodes(spark, parent), finish_rows=finish).select("ancestor", "descendant", "distance").collect()]
+    assert sorted(got) == sorted(want)
