@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.functions import scalars as S
 from siltstone.operators.changelog import SortedRuns
 from siltstone.operators.frequency import ngram_counts, term_marks, token_registry
 from siltstone.operators.hierarchy import descendants_of_all, hierarchy, valid_rows
@@ -33,7 +34,7 @@ def p2_registry(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_document_ngrams(spark: SparkSession, d: str) -> DataFrame:
     """How many n-grams of each length up to three the documents hold, and how often the most frequent one occurs."""
-    docs = table(spark, d, "documents").select("doc_id", F.expr("regexp_extract_all(lower(text), '[a-z0-9]+', 0)").alias("terms"))
+    docs = table(spark, d, "documents").select("doc_id", S.words(F.col("text")).alias("terms"))
     grams = ngram_counts(docs, "doc_id", "terms", 3)
     return grams.groupBy(F.size("gram").alias("n")).agg(F.count("*").alias("grams"), F.sum("occurrences").alias("occurrences"), F.max("occurrences").alias("top_occurrences"), F.max("records").alias("top_records"))
 
