@@ -132,11 +132,17 @@ def sql_surface(spark, d):
 
 @query()
 def pair_scores(spark, d):
-    """Text metrics between every document and the next one of its source and block of ids."""
+    """Text metrics between every document and the next one of its source."""
     docs = table(spark, d, "documents").select("doc_id", F.lower(F.trim("source")).alias("s"), "text").where("s is not null")
-    # the next within a block of 64 ids, so that no source is ordered in one task
-    w = Window.partitionBy("s", F.floor(F.col("doc_id") / 64)).orderBy("doc_id")
-    pairs = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("pred"), F.lead("text").over(w).alias("gold")).where("gold is not null")
+    ids = docs.select("s", F.floor(F.col("doc_id") / 64).alias("block"), "doc_id")
+    # the next within a block of 64 ids, so that no source is ordered in one task; the last of a block goes with the first
+    # of the next block that its source has, by one row of ids per block
+    within = ids.select(F.col("doc_id").alias("id"), F.lead("doc_id").over(Window.partitionBy("s", "block").orderBy("doc_id")).alias("next"))
+    blocks = ids.groupBy("s", "block").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    across = blocks.select(F.col("last").alias("id"), F.lead("first").over(Window.partitionBy("s").orderBy("block")).alias("next"))
+    links = within.unionByName(across).where("next is not null")
+    pred, gold = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("pred")), docs.select(F.col("doc_id").alias("next"), F.col("text").alias("gold"))
+    pairs = links.join(pred, "id").join(gold, "next").select("id", "pred", "gold").where("gold is not null")
     return pair_metrics(pairs)
 
 

@@ -60,3 +60,12 @@ def test_findings_and_free_values(spark):
     v = spark.createDataFrame([("# Title\nimport x\n\n// body", "Привет мир a", "$1,234.50 net", "March 5, 2024"), ("", "123", "none", "x")], "a string, b string, c string, d string")
     r = v.select(N.summary(F.col("a")), N.dominant_script(F.col("b")), N.parse_money(F.col("c")), F.to_date(N.parse_date(F.col("d"))).cast("string")).collect()
     assert [tuple(x) for x in r] == [("Title body", "Cyrillic", 1234.5, "2024-03-05"), ("", "unknown", None, None)]
+
+
+def test_pair_scores_cross_blocks_of_ids(spark, tmp_path):
+    from siltstone.plans import registry
+
+    rows = [(1, "A", "x"), (5, " a", "y"), (70, "a", "y"), (71, "b", "p"), (200, "b", "p"), (900, "a", "z"), (901, None, "z"), (2, "c", "q")]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["id"]: r["cer"] for r in registry.queries()["pair_scores"](spark, str(tmp_path)).collect()}
+    assert got == {1: 1.0, 5: 0.0, 70: 1.0, 71: 0.0}
