@@ -1,9 +1,10 @@
 """Credentials embedded in source code: finding their lines and masking them.
 
-Literals which stand where a credential would (a telling name, a header, an address, a command, a connection string, a
-remark, a private-key block) or look like one (issued token formats) are indexed over the whole collection with the
-files that own them. Values shared by more owners than a secret would be are placeholders and fall out; of the rare ones
-those with the structure of a usable secret are confirmed. Then every file is scanned again for the confirmed values by
+All literals of the collection, quoted or bare, are indexed by their hash with the files that own them. Candidates among them
+are those which stand where a credential would (a telling name, call, header, address, command, connection string or
+remark, a private-key block) or look like one (issued token formats). Candidates with more owners than a secret would have are
+placeholders and fall out, unless their characters are such as nobody makes up; of the others those
+with the structure of a usable secret are confirmed. Then every file is scanned again for the confirmed values by
 an automaton, so that a secret is also found where nothing around it tells. Masked are the places of both. Confirmed values are taken in blocks of
 ``block`` values: what an executor holds stays bounded, and all values meet all files.
 
@@ -57,9 +58,25 @@ COMMAND = re.compile(r"""(?x)(?: \bcurl\b.*?\s(?:-u|--user)[\s=]+["']?[^\s:"']+:
    | \bsshpass\s+-p\s*["']?(?P<c>[^\s"']+) | \b(?:docker|podman|helm|az)\b.*?\s(?:-p|--password)[\s=]+["']?(?P<d>[^\s"']+) | \bredis-cli\b.*?\s-a\s+["']?(?P<e>[^\s"']+) | \bwget\b.*--(?:http-)?password=["']?(?P<f>[^\s"']+) )""")
 CONNECTION = re.compile(r"""(?i)(?:pwd|password|accountkey|sharedaccesskey)\s*=\s*(?P<value>[^;"'\s]+)""")
 REMARK = re.compile(r"""(?i)\b(?:password|passwd|pass|pw|pwd|(?:login|access|api)\s+key|token|secret|kennwort|passwort|mot\s+de\s+passe|contraseña|clave|credentials?)\s+(?:was|is|are|war|ist|était|est|era|es)\s*:?\s+["'`]?(?P<value>[^\s"'`,;]{6,})""")
+# a call whose name tells and that hands over literals; the last of them is the secret
+CALL = re.compile(
+    r"""(?xi)(?<![A-Za-z])(?P<name>\w{0,40}?(?:credentials?|passw(?:or)?d|passphrase|pwd|log_?in|sign_?in|auth(?:enticate|orize)?|secret|api_?key|access_?key)\w{0,16})\s*\((?=[^)]*["'])"""
+)
+CALL_ARGUMENT = re.compile(r"""\s*(?:[\w.]+\s*(?:=>|[=:])\s*)?(?P<value>"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|[\w.\[\]]*)\s*(?P<end>[,)])""")
+ASKS = re.compile(r"(?i)^_*(?:get|fetch|read|load|look_?up|find|has|is|check|valid\w*|verify|prompt|ask|log|print|mask|redact|hash|delete|remove|require|need|test|describe|rotate)(?:_|[A-Z]|$)")
 JOIN = re.compile(r"""["']\s*[+.]?\s*["']""")
-REFERENCE = re.compile(r"""^(?:\$|%|\{|<|@|os\.|env\b|process\.|settings\b|config\b|getenv|System\.|self\.|this\.|ctx\b|vault:|secretKeyRef|null$|none$|nil$|true$|false$|undefined$)|[({]\s*\w*\s*[)}]?$|\(|\$\{|\{\{|<[^>]*>|%\(""", re.I)
-DUMMY = re.compile(r"""(?i)(?:^|[^a-z])(?:your|my|example|sample|dummy|fake|test|change[-_ ]?me|replace|placeholder|redacted|insert|todo|none|null|xxx+|\*{3,}|\.{3,}|foo|bar|hunter2?)(?![a-z]*\d{3})|^(.)\1+$|X{6,}|x{6,}|0{8,}|1234567|abcdef0123""")
+REFERENCE = re.compile(
+    r"""(?xi)^(?:\$\{?[a-z_]\w*\}?(?:[/:.-]|$) | %\w+%$ | \{[\w.\s-]*\}?$ | <[^>]*>?$ | @\w+$ | os\. | env\b | process\. | settings\b | config\b | getenv | System\. | self\. | this\. | ctx\b | vault: | secretKeyRef | (?:null|none|nil|true|false|undefined)$)
+    | \$\(|\$\{|\{\{|%\( | \{[a-z_][\w.]*\} | \w\([^()]*\)$ | <[^<>]*>"""
+)
+# words of placeholders, standing for themselves or before what they stand for
+DUMMY = re.compile(
+    r"""(?xi)(?:^|[^a-z])(?:your|my|example|sample|dummy|fake|test|change[-_ ]?me|replace|placeholder|redacted|insert|todo|none|null|foo|bar|hunter2?)
+      (?=[^a-z0-9]|$|\d{1,3}(?:[^a-z0-9]|$)|pass|pwd|secret|token|key|api|user|value|name|login|cred|here|db|app|account|bar|only|ing)"""
+)
+FILLED = re.compile(r"EXAMPLE|^(.)\1+$|X{6,}|x{6,}|\*{3,}|\.{3,}|0{8,}|1234567|abcdef0123")
+# words of sentences, which no passphrase is made of
+SAYS = re.compile(r"(?i)\b(?:the|an?|is|are|was|must|should|can|please|enter|type|your|you|for|to|of|in|with|and|or|not|no|at|least|characters?|required?|invalid|wrong|incorrect|missing|forgot\w*|reset|change|here|new|old|confirm|again|der|die|das|ein|le|la|el|bitte)\b")
 
 
 def entropy(s: str) -> float:
@@ -70,15 +87,25 @@ def entropy(s: str) -> float:
 PLAIN = re.compile(r"(?i)(?:user(?:name)?|pass(?:word|wd)?|pwd|secret|token|login|admin|root|test|guest|none|value|string)s?\d?")
 
 
+def mixed(v: str) -> bool:
+    """Characters of several classes as nobody writes them in words."""
+    classes = sum(bool(re.search(p, v)) for p in (r"[a-z]", r"[A-Z]", r"\d", r"[^\w]"))
+    return classes >= 2 and bool(re.search(r"\d|[A-Z].*[^\w]|[^\w].*[A-Z]", v))
+
+
 def usable(value: str, kind: str) -> bool:
-    """Has the value the structure of a secret that works? Of some kinds of places the place alone nearly tells it."""
+    """Has the value the structure of a secret that works? Of some kinds of places the place alone nearly tells it. Blanks are
+    allowed in quoted values of telling names: a passphrase is several words that make no sentence."""
     v = value.strip().strip("\"'`").strip()
-    if not 6 <= len(v) <= 4000 or REFERENCE.search(v) or re.search(r"\s", v):
+    if len(v) < 6 or REFERENCE.search(v) or FILLED.search(v):
         return False
     if ISSUED.fullmatch(v):
-        return not DUMMY.search(v)
+        return True
     if DUMMY.search(v):
         return False
+    if re.search(r"\s", v):
+        words = v.split()
+        return kind in ("named", "phrase") and not SAYS.search(v) and (len(words) >= 3 if kind == "phrase" else len(words) >= 2 and any(mixed(w) and len(w) >= 4 for w in words) and not re.search(r"[=(){}\[\]]", v))
     if re.fullmatch(r"[\d.,:/-]+", v) or re.fullmatch(r"[a-z]+://\S+|/?(?:[\w.-]+/)+[\w.-]+", v) and not re.search(r"[A-Z].*\d|\d.*[A-Z]", v):
         return False  # numbers, dates, addresses and paths
     if re.fullmatch(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", v, re.I):
@@ -87,10 +114,18 @@ def usable(value: str, kind: str) -> bool:
         return False
     if kind in ("address", "connection", "command", "header") and entropy(v) > 2:
         return True
-    classes = sum(bool(re.search(p, v)) for p in (r"[a-z]", r"[A-Z]", r"\d", r"[^\w]"))
     turns = len(re.findall(r"[a-z][A-Z]|[A-Z][a-z]", v))
-    mixed = classes >= 2 and bool(re.search(r"\d|[A-Z].*[^\w]|[^\w].*[A-Z]", v))
-    return mixed or (len(v) >= 10 and turns >= 5 and entropy(v) > 3) or (len(v) >= 16 and entropy(v) > 3.6)
+    return mixed(v) or (len(v) >= 10 and turns >= 5 and entropy(v) > 3) or (len(v) >= 16 and entropy(v) > 3.6)
+
+
+def unguessable(value: str) -> bool:
+    """An issued format, or so many and so mixed characters that nobody made it up as a placeholder: such a value stays a secret
+    in however many files it was copied."""
+    classes = sum(bool(re.search(p, value)) for p in (r"[a-z]", r"[A-Z]", r"\d", r"[^\w\s]"))
+    worded = sum(len(w) for w in re.findall(r"[A-Za-z]?[a-z]{4,}|[A-Z]{5,}", value))
+    if worded > 0.4 * len(value):
+        return False
+    return bool(ISSUED.fullmatch(value)) or (len(value) >= 12 and classes >= 3 and entropy(value) > 3.2) or (len(value) >= 24 and classes >= 2 and entropy(value) > 3.2)
 
 
 def decoded(value: str) -> str | None:
@@ -102,10 +137,14 @@ def decoded(value: str) -> str | None:
     return t if re.fullmatch(r"[^\s:]+:[^\s]{4,}", t) and t.isprintable() else None
 
 
-# a line without any of these holds nothing that the patterns above could find
+# quoted or bare literals, for the index of all of them (a pattern of the JVM)
+LITERAL = """"[^"\\n]{6,}"|'[^'\\n]{6,}'|`[^`\\n]{6,}`|[^\\s"'`,;=:(){}]{6,}"""
+
+# a line without any of these holds nothing that the patterns above could find: every alternative of each of them needs one.
+# A line that joins literals is always read, as the join may cut any of these words. tests/llm holds both against each other.
 HINT = re.compile(
-    r"""(?xi)pass|pwd|pw\b|kenn?wort|clave|senha|wachtwoord|parola|has[lł]o|contrase|secret|credential|key|token|auth|api|:// | curl|mysql|mariadb|docker|podman|helm|\baz\b|redis-cli|wget | uid|server\s*=|account
-    | A(?:KI|SI|GP|RO)A[0-9A-Z] | gh[a-z]_ | github_pat | glpat- | xox[a-z]- | _live_ | npm_ | pypi- | eyJ | AIza | SG\. | ya29 | hf_ | dop_v1 | sk- | ["']\s*[+.]\s*["'] | -----BEGIN"""
+    r"""(?xi)pass|pwd|pw(?![a-z])|kenn?wort|clave|senha|wachtwoord|parola|has[lł]o|contrase|secret|credential|key|token|auth|log_?in|sign_?in|api|:// | curl|mysql|mariadb|docker|podman|helm|\baz\b|redis-cli|wget
+    | A(?:KI|SI|GP|RO)A[0-9A-Z] | gh[a-z]_ | github_pat | glpat- | xox[a-z]- | _live_ | npm_ | pypi- | eyJ | AIza | SG\. | ya29 | hf_ | dop_v1 | sk- | ["']\s*[+.]?\s*["'] | -----BEGIN"""
 )
 
 
@@ -166,22 +205,35 @@ def scan_line(line: str) -> list[tuple[str, str, list[tuple[int, int]]]]:
             continue
         if not quoted and re.search(r"[(\[]|^[A-Za-z_]\w*(?:\.[A-Za-z_]\w{0,24})+$", v):
             continue  # an expression
-        out.append(("named", v, places))
+        out.append(("phrase" if re.search(r"(?i)phrase|mot_?de_?passe", name) else "named", v, places))
+    for m in CALL.finditer(line):
+        if ASKS.search(m.group("name")):
+            continue
+        at, given = m.end(), None
+        while a := CALL_ARGUMENT.match(line, at):
+            at = a.end()
+            if a.group("value")[:1] in ("'", '"'):
+                given = a
+            if a.group("end") == ")":
+                break
+        if given and len(given.group("value")) > 2:
+            s, e = given.span("value")
+            out.append(("named", line[s + 1 : e - 1], [(s + 1, e - 1)]))
     for m in REMARK.finditer(line):
         v = m.group("value").rstrip(".")
         out.append(("remark", v, [(m.start("value"), m.start("value") + len(v))]))
     return [x for x in out if x[1]]
 
 
-def placed(text: str) -> list[tuple[int, str, str, list[tuple[int, int]] | None]]:
+def placed(text: str, hints: bool = True) -> list[tuple[int, str, str, list[tuple[int, int]] | None]]:
     """(line, kind, value, places) of a text, places in characters of the whole text; a private key counts at its first line
-    and has none, as its body is masked between its BEGIN and END."""
+    and has none, as its body is masked between its BEGIN and END. Without ``hints`` every line is read, for tests."""
     out = []
     lines = text.split("\n")
     begin, after = 0, 0
     for i, line in enumerate(lines):
         begin, after = after, after + len(line) + 1
-        if len(line) < 8 or not HINT.search(line):
+        if hints and not HINT.search(line):
             continue
         line = line.rstrip("\r")
         if PEM.search(line):
@@ -191,7 +243,7 @@ def placed(text: str) -> list[tuple[int, str, str, list[tuple[int, int]] | None]
             elif len(re.findall(r"[A-Za-z0-9+/=]{32,}", rest)):
                 out.append((i + 1, "key block", rest.strip(), None))
         for kind, v, places in scan_line(line):
-            if usable(v, kind) or (kind in ("header", "named") and decoded(v)):
+            if usable(v, kind) or (kind in ("header", "named", "phrase") and decoded(v)):
                 out.append((i + 1, kind, v, [(begin + s, begin + e) for s, e in places]))
     return out
 
@@ -203,8 +255,8 @@ def candidates(text: str) -> list[tuple[int, str, str]]:
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        rows = [(f, *c) for f, t in zip(b["file_id"], b["text"]) if t for c in placed(t)]
-        yield pd.DataFrame([(*r[:4], r[4] and [{"start": s, "stop": e} for s, e in r[4]]) for r in rows], columns=["file_id", "line", "kind", "value", "places"])
+        rows = [(f, *c[:3], unguessable(c[2]), c[3] and [{"start": s, "stop": e} for s, e in c[3]]) for f, t in zip(b["file_id"], b["text"]) if t for c in placed(t)]
+        yield pd.DataFrame(rows, columns=["file_id", "line", "kind", "value", "strong", "places"])
 
 
 def _rescan(batches: Iterator[pd.DataFrame], secrets) -> Iterator[pd.DataFrame]:
@@ -228,23 +280,38 @@ def _rescan(batches: Iterator[pd.DataFrame], secrets) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["file_id", "line", "start", "stop", "value"])
 
 
+def _body(texts: DataFrame) -> DataFrame:
+    return spread(pick(texts, "file_id", "text").where("file_id is not null and text is not null"), "file_id")
+
+
+def telling_literals(texts: DataFrame) -> DataFrame:
+    """(file_id, line, kind, value, strong, places) of all candidates."""
+    return _body(texts).mapInPandas(_scan, "file_id long, line int, kind string, value string, strong boolean, places array<struct<start: int, stop: int>>")
+
+
 def literal_index(texts: DataFrame) -> DataFrame:
-    """(file_id, line, kind, value, places) of all candidates."""
-    schema = "file_id long, line int, kind string, value string, places array<struct<start: int, stop: int>>"
-    return spread(pick(texts, "file_id", "text").where("file_id is not null and text is not null"), "file_id").mapInPandas(_scan, schema)
+    """(file_id, h): hashes of all literals of every file, quoted or bare, wherever they stand; one row each."""
+    found = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(LITERAL), F.lit(0)), lambda x: F.xxhash64(F.regexp_replace(x, "^[\"'`]|[\"'`]$", ""))))
+    return pick(texts, "file_id", "text").where("file_id is not null and text is not null").select("file_id", F.explode(found).alias("h"))
 
 
-def confirmed(index: DataFrame, max_owners: int = 12) -> DataFrame:
-    """Values owned by at most ``max_owners`` files; counted by a partial aggregation over distinct (value, file)."""
-    owners = index.select("value", "file_id").distinct().groupBy("value").agg(F.count("*").alias("owners"))
-    return owners.where(F.col("owners") <= max_owners)
+def confirmed(index: DataFrame, texts: DataFrame, owner_share: float = 0.001, least_owners: int = 12) -> DataFrame:
+    """(value, owners) of the candidates that are secrets. Owners are all files that hold the value as a literal anywhere; a value
+    of more than ``least_owners`` files and more than ``owner_share`` of all files is a placeholder, unless nobody could have made it up."""
+    values = index.groupBy("value").agg(F.max("strong").alias("strong")).withColumn("h", F.xxhash64("value"))
+    # only literals that are candidates are counted; one literal may stand in most files, so its rows are spread
+    plain = salted_join(literal_index(texts), values.select("h").distinct(), "h", "file_id", "left_semi").select("h", "file_id")
+    owners = plain.unionByName(index.select(F.xxhash64("value").alias("h"), "file_id")).distinct().groupBy("h").agg(F.count("*").alias("owners"))
+    files = pick(texts, "file_id").where("file_id is not null").agg(F.count("*").alias("n"))  # one row
+    limit = F.greatest(F.lit(least_owners), F.col("n") * F.lit(owner_share))
+    return values.join(owners, "h").join(F.broadcast(files)).where(F.col("strong") | (F.col("owners") <= limit)).select("value", "owners")
 
 
-def find_credentials(texts: DataFrame, max_owners: int = 12, block: int = 200_000, index: DataFrame | None = None) -> DataFrame:
+def find_credentials(texts: DataFrame, owner_share: float = 0.001, least_owners: int = 12, block: int = 200_000, index: DataFrame | None = None) -> DataFrame:
     """(file_id, line, start, stop): places of credentials; start and stop (0-based, end excluded) are null for key blocks."""
     spark = texts.sparkSession
-    index = index if index is not None else materialize(literal_index(texts), "literals")
-    known = materialize(confirmed(index, max_owners).withColumn("block", F.pmod(F.xxhash64("value"), F.lit(max(1, -(-index.count() // block))))), "secrets")
+    index = index if index is not None else materialize(telling_literals(texts), "literals")
+    known = materialize(confirmed(index, texts, owner_share, least_owners).withColumn("block", F.pmod(F.xxhash64("value"), F.lit(max(1, -(-index.count() // block))))), "secrets")
     # a placeholder may hold a large part of the index, so its rows are spread
     told = salted_join(index, known.select("value"), "value", "file_id", "left_semi").select("file_id", "line", F.explode_outer("places").alias("at")).select("file_id", "line", "at.start", "at.stop")
     words_of = known.join(index.where("kind <> 'key block'").select("value").distinct(), "value", "left_semi")
@@ -252,8 +319,7 @@ def find_credentials(texts: DataFrame, max_owners: int = 12, block: int = 200_00
     out = told
     for b in [r[0] for r in words_of.select("block").distinct().collect()]:  # as many as there are blocks
         words = spark.sparkContext.broadcast([r[0] for r in words_of.where(F.col("block") == b).select("value").collect()])  # about `block` values
-        body = spread(pick(texts, "file_id", "text").where("file_id is not null and text is not null"), "file_id")
-        out = out.unionByName(body.mapInPandas(lambda it, words=words: _rescan(it, words), hit).select("file_id", "line", "start", "stop"))
+        out = out.unionByName(_body(texts).mapInPandas(lambda it, words=words: _rescan(it, words), hit).select("file_id", "line", "start", "stop"))
     return out
 
 
@@ -276,10 +342,10 @@ def mask_key_blocks(text: str) -> str:
     return re.sub(r"(-{5}BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-{5})(.*?)(-{5}END|\Z)", lambda m: m[1] + re.sub(r"[A-Za-z0-9+/=]{16,}", lambda w: "*" * len(w[0]), m[2]) + m[3], text, flags=re.S)
 
 
-def mask_credentials(texts: DataFrame, max_owners: int = 12) -> DataFrame:
+def mask_credentials(texts: DataFrame, owner_share: float = 0.001, least_owners: int = 12) -> DataFrame:
     """(file_id, text, masked): every text, with its credentials masked and all else unchanged."""
-    index = materialize(literal_index(texts), "literals")
-    places = find_credentials(texts, max_owners, index=index)
+    index = materialize(telling_literals(texts), "literals")
+    places = find_credentials(texts, owner_share, least_owners, index=index)
     spans = places.where("start is not null").groupBy("file_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))  # of one file each
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
