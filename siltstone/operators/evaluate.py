@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.session import spread
+from siltstone.session import respread
 
 
 def psi(base: DataFrame, current: DataFrame, column: str, bins: int = 10, floor: float = 1e-6) -> DataFrame:
@@ -217,5 +217,5 @@ def pair_metrics(pairs: DataFrame) -> DataFrame:
                 rows.append((i, c, a, wer, bleu(p, g), meteor(p, g), chrf(p, g), rouge(p, g, 1), rouge(p, g, 2), rouge_l(p, g)))
             yield pd.DataFrame(rows, columns=["id", "cer", "anls", *names])
 
-    x = spread(pairs.select("id", "pred", "gold"), "id").select("id", "pred", "gold", cer.alias("cer"), F.when(near < 0.5, 1 - near).otherwise(0.0).alias("anls"))
+    x = respread(pairs.select("id", "pred", "gold"), "id").select("id", "pred", "gold", cer.alias("cer"), F.when(near < 0.5, 1 - near).otherwise(0.0).alias("anls"))
     return x.mapInPandas(run, "id long, cer double, anls double, " + ", ".join(f"{n} double" for n in names))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import json
+import re
 import shutil
 import tempfile
 import uuid
@@ -49,9 +51,67 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+class Folder:
+    """A folder of any file system that Spark can reach, through Hadoop's interface."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
+        self.jvm = spark.sparkContext._jvm
+        self.fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _path(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+
+    def exists(self, name: str = "") -> bool:
+        return self.fs.exists(self._path(name))
+
+    def names(self, name: str = "") -> list[str]:
+        """What stands directly in it; nothing where there is no such folder."""
+        return sorted(x.getPath().getName() for x in self.fs.listStatus(self._path(name))) if self.exists(name) else []
+
+    def delete(self, name: str = "") -> None:
+        self.fs.delete(self._path(name), True)
+
+    def delete_at_exit(self) -> None:
+        self.fs.deleteOnExit(self._path(""))
+
+    def put(self, name: str, value: dict) -> None:
+        """Writes the next version of a small document. It is there after one rename or not at all, and a second writer of the same
+        version fails; the two versions before are kept, for readers that have just begun."""
+        old = self._versions(name)
+        n = old[-1] + 1 if old else 0
+        part = self._path(f".{name.replace('/', '-')}-{uuid.uuid4().hex}")
+        out = self.fs.create(part, True)
+        out.write(bytearray(json.dumps(value).encode()))
+        out.close()
+        to = self._path(f"{name}-{n:09d}.json")
+        self.fs.mkdirs(to.getParent())
+        if self.fs.exists(to) or not self.fs.rename(part, to):
+            self.fs.delete(part, False)
+            raise RuntimeError(f"{name} was written by somebody else")
+        for k in old[:-2]:
+            self.delete(f"{name}-{k:09d}.json")
+
+    def _versions(self, name: str) -> list[int]:
+        head, _, tail = name.rpartition("/")
+        return sorted(int(m[1]) for x in self.names(head) if (m := re.fullmatch(re.escape(tail) + r"-(\d{9})\.json", x)))
+
+    def newest(self, name: str) -> dict | None:
+        old = self._versions(name)
+        if not old:
+            return None
+        stream = self.fs.open(self._path(f"{name}-{old[-1]:09d}.json"))
+        try:
+            return json.loads(self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder name for one operator's tables below the shared folder."""
-    return f"{shared_root(spark)}/siltstone/{label}-{uuid.uuid4().hex}"
+    """A new folder name for one operator's tables below the shared folder; what is left of it goes when the driver ends."""
+    path = f"{shared_root(spark)}/siltstone/{label}-{uuid.uuid4().hex}"
+    Folder(spark, path).delete_at_exit()
+    return path
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -59,14 +119,31 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes materialized tables that nothing reads any more."""
+    for t in tables:
+        if path := getattr(t, "_scratch", None):
+            Folder(t.sparkSession, path).delete()
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """For work in Python that outweighs a shuffle: where the scan has fewer partitions than the cluster has cores for,
-    the rows are spread over four per core. Large inputs are cut finely enough by the scan and stay as they are."""
+def spread(df: DataFrame, key: str, bytes_per_task: int = 128 << 20) -> DataFrame:
+    """For work in Python that outweighs a shuffle, on a table as it is scanned: where its files are cut into fewer tasks than the cluster
+    has cores for, the rows are spread over four per core. The optimizer's size of the scan tells; nothing is run for it. Rows that
+    come out of joins or aggregates are not to be given to this: their size is only guessed there."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(4 * cores, key)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df if size >= 2 * cores * bytes_per_task else df.repartition(4 * cores, key)
+
+
+def respread(df: DataFrame, key: str) -> DataFrame:
+    """The same for rows of joins and aggregates, whose partitions may be few: always a shuffle, into as many as a shuffle has or more."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), key)
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:

@@ -30,9 +30,10 @@ def sessions(events: DataFrame, ts: str, user: str, gap: str = "30 minutes", lat
     return e.groupBy(F.session_window(ts, gap).alias("w"), user).agg(F.count("*").alias("n")).select(user, F.col("w.start").cast("timestamp_ntz").alias("start"), F.col("w.end").cast("timestamp_ntz").alias("stop"), "n")
 
 
-def drain(df: DataFrame, each: Callable[[DataFrame, int], None], mode: str = "append") -> StreamingQuery:
-    """Runs the stream over all that is there now, in micro-batches with a checkpoint in the shared folder."""
-    q = df.writeStream.outputMode(mode).option("checkpointLocation", scratch(df.sparkSession, "stream")).foreachBatch(each).trigger(availableNow=True).start()
+def drain(df: DataFrame, each: Callable[[DataFrame, int], None], root: str | None = None, mode: str = "append") -> StreamingQuery:
+    """Runs the stream over all that is there now, in micro-batches. Its checkpoint lies in ``root``, so that a later call goes on
+    where this one stopped; without it, in the shared folder for this call only."""
+    q = df.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/stream" if root else scratch(df.sparkSession, "stream")).foreachBatch(each).trigger(availableNow=True).start()
     q.awaitTermination()
     return q
 
@@ -44,7 +45,7 @@ def to_table(df: DataFrame, mode: str = "complete") -> DataFrame:
     def each(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(root if mode == "complete" else f"{root}/batch={n}")
 
-    drain(df, each, mode)
+    drain(df, each, mode=mode)
     out = df.sparkSession.read.parquet(root)
     return out.drop("batch") if mode != "complete" else out
 
@@ -60,11 +61,21 @@ def apply_changes(changes: DataFrame, store: SortedRuns) -> SortedRuns:
     return store
 
 
-def process_increments(changes: DataFrame, store: PartitionedIncrement, handle: Callable[[DataFrame], None]) -> None:
-    """Hands the changes that no earlier batch has taken to ``handle``, batch by batch."""
+def process_increments(changes: DataFrame, store: PartitionedIncrement, handle: Callable[[DataFrame, str], None]) -> None:
+    """Hands the changes that no earlier batch has taken to ``handle(rows, run id)``, batch by batch.
 
-    def each(batch: DataFrame, _: int) -> None:
+    A batch is acknowledged after ``handle`` returns: if it breaks off, the same rows come again under the same id, by which
+    a consumer that writes tells what it has already written. A batch that the stream runs again takes nothing twice."""
+
+    def deliver() -> None:
+        for run, rows in store.waiting().items():
+            handle(rows, run)
+            store.acknowledge([run])
+
+    def each(batch: DataFrame, n: int) -> None:
         if not batch.isEmpty():
-            handle(store.run(batch))
+            store.run(batch, run_id=f"batch{n}", appended=True, acknowledge=False)
+        deliver()
 
-    drain(changes, each)
+    deliver()
+    drain(changes, each, store.root)

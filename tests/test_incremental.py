@@ -2,7 +2,7 @@ import datetime as dt
 
 import pytest
 
-from siltstone.operators.incremental import PartitionedIncrement
+from siltstone.operators.incremental import PRINTS, Broken, PartitionedIncrement, fingerprints
 
 FEED = "seq long, rel_path string, change_type string, new_hash string, new_size long, recorded_at timestamp_ntz, bucket int, Seq string"
 STATE = "rel_path string, hash string, size long, last_seq long, updated_ts string, PATH string"
@@ -32,23 +32,63 @@ def test_first_run_takes_everything_once(spark):
     assert s == {"a/x": (2, "h2"), "b": (4, None), "": (5, "h5"), "c": (6, "h6")}
 
 
-def test_only_changed_partitions_are_recomputed(spark):
+def test_only_changed_cells_are_recomputed(spark):
     store = PartitionedIncrement(spark, buckets=16)
     store.run(feed(spark, ROWS))
-    f = store.feed(feed(spark, [*ROWS, (7, "c", "modified", "h7", 7, T(9))]))
-    changed = store.changed_partitions(f, store.FEED)
-    assert len(changed) == 1
-    assert [r["seq"] for r in store.run(feed(spark, [*ROWS, (7, "c", "modified", "h7", 7, T(9))])).collect()] == [7]
+    more = [*ROWS, (7, "c", "modified", "h7", 7, T(9))]
+    before = dict(store.manifest["state"])
+    changed = store.changed_cells(fingerprints(store.feed(feed(spark, more)), ["bucket", "cell"], store.FEED), store._read("fingerprints", PRINTS))
+    assert changed.count() == 1
+    assert [r["seq"] for r in store.run(feed(spark, more)).collect()] == [7]
+    assert sum(before.get(b) != r for b, r in store.manifest["state"].items()) == 1  # only that bucket was replaced
 
 
-@pytest.mark.parametrize("where", ["pending", "state"])
-def test_broken_run_is_made_up_for(spark, where):
+MORE = [(7, "c", "modified", "h7", 7, T(9)), (8, "d", "created", "h8", 8, T(9)), (9, "b", "created", "h9", 9, T(9))]
+
+
+@pytest.mark.parametrize("where", ["taken", "half", "state", "fingerprints", "commit"])
+def test_broken_runs_give_every_change_once(spark, where):
+    """Whatever a run breaks off after, all attempts together hand out every change once, also by a store that was opened again."""
+    store = PartitionedIncrement(spark, buckets=4)
+    got = [r["seq"] for r in store.run(feed(spark, ROWS)).collect()]
+    with pytest.raises(Broken):
+        store.run(feed(spark, ROWS + MORE), fail_after=where)
+    store = PartitionedIncrement(spark, root=store.root)
+    last = (10, "e", "created", "h10", 10, T(10))
+    got += [r["seq"] for r in store.run(feed(spark, [*ROWS, *MORE, last])).collect()]
+    got += [r["seq"] for r in PartitionedIncrement(spark, root=store.root).run(feed(spark, [*ROWS, *MORE, last])).collect()]
+    assert sorted(got) == list(range(1, 11))
+    s = {r["path"]: (r["last_seq"], r["hash"]) for r in store.state().collect()}
+    assert s == {"a/x": (2, "h2"), "b": (9, "h9"), "": (5, "h5"), "c": (7, "h7"), "d": (8, "h8"), "e": (10, "h10")}
+
+
+def test_unacknowledged_runs_come_again(spark):
+    store = PartitionedIncrement(spark, buckets=4)
+    store.run(feed(spark, ROWS), run_id="one", acknowledge=False)
+    store = PartitionedIncrement(spark, root=store.root)
+    assert {k: sorted(r["seq"] for r in v.collect()) for k, v in store.waiting().items()} == {"one": [1, 2, 3, 4, 5, 6]}
+    store.acknowledge(["one"])
+    assert store.waiting() == {} and store.run(feed(spark, ROWS), run_id="one").count() == 0 and store.run(feed(spark, ROWS)).count() == 0
+
+
+def test_appended_batches_add_their_fingerprints(spark):
     store = PartitionedIncrement(spark, buckets=4)
-    with pytest.raises(RuntimeError):
-        store.run(feed(spark, ROWS), fail_after=where)
-    again = sorted(r["seq"] for r in store.run(feed(spark, ROWS)).collect())
-    assert again == ([1, 2, 3, 4, 5, 6] if where == "pending" else [])  # state already holds them, so none is taken twice
-    assert {r["path"]: r["last_seq"] for r in store.state().collect()} == {"a/x": 2, "b": 4, "": 5, "c": 6}
+    store.run(feed(spark, ROWS[:4]), appended=True)
+    store.run(feed(spark, ROWS[4:]), appended=True)
+    assert store.run(feed(spark, ROWS)).count() == 0  # the fingerprints of both batches are those of the whole feed
+    assert sorted(r["seq"] for r in store.run(feed(spark, ROWS + MORE)).collect()) == [7, 8, 9]
+
+
+def test_a_given_state_seeds_the_fingerprints(spark):
+    st = state(spark, [("a/x", "h2", 2, 2, "2025-01-01T00:03:00Z"), ("b", None, None, 4, "2025-01-01T00:05:00Z")])
+    store = PartitionedIncrement(spark, rows_per_cell=1, buckets=4)
+    rows = store.feed(feed(spark, ROWS))
+    prints = fingerprints(rows, ["bucket", "cell"], store.FEED)
+    changed = store.changed_cells(prints, store.seed(rows, store.valid_state(st), prints, store.FEED))
+    assert changed.count() < prints.count()
+    assert sorted(r["seq"] for r in store.plan(feed(spark, ROWS), st).collect()) == [5, 6]
+    assert sorted(r["seq"] for r in store.run(feed(spark, ROWS), st).collect()) == [5, 6]
+    assert sorted(r["seq"] for r in store.run(feed(spark, ROWS + MORE)).collect()) == [7, 8, 9]
 
 
 def test_late_arrivals_and_rules(spark):

@@ -87,5 +87,5 @@ def test_streams(spark, tmp_path):
     store = C.apply_changes(feed, SortedRuns(spark, buckets=2))
     assert len(store.runs) == 2 and {r["rel_path"] for r in store.alive().collect()} == {"b", "c"}
     taken = []
-    C.process_increments(C.read_files(spark, f"{tmp_path}/feed", per_trigger=1), PartitionedIncrement(spark, buckets=2), lambda df: taken.extend(r["seq"] for r in df.collect()))
+    C.process_increments(C.read_files(spark, f"{tmp_path}/feed", per_trigger=1), PartitionedIncrement(spark, buckets=2), lambda df, _: taken.extend(r["seq"] for r in df.collect()))
     assert sorted(taken) == [1, 2, 3, 4]
