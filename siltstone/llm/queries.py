@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.credentials import find_credentials, mask_credentials
 from siltstone.llm.handwritten import not_handwritten
-from siltstone.llm.leakage import find_leaks, merged_spans
+from siltstone.llm.leakage import find_leaks, leak_spans
 from siltstone.llm.mixing import Mix
 from siltstone.llm.residue import find_residue
 from siltstone.session import materialize, table
@@ -50,7 +50,8 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_spans(spark: SparkSession, d: str) -> DataFrame:
     """What is to be cut out of each document."""
-    return merged_spans(materialize(find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")), "leaks"))
+    docs = table(spark, d, "documents")
+    return leak_spans(docs, materialize(find_leaks(docs, table(spark, d, "eval_items")), "leaks"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
