@@ -2,17 +2,17 @@
 
 A record's own prose is what is left when code (fenced, indented, in back-ticks, in quotes) is taken away. In it,
 detectors look for unfilled slots, filler, output of undefined values, failed page parts, error, refusal and check pages
-and demands to turn scripts on. A detector is strong (the sentence can't be content) or weak (it may be content).
+and demands to turn scripts on. What they hit is a sentence or a line; it weighs 2 where it can hardly be content, else 1.
 
-Weak signals need company: the terms of the record's address (source, repository and file name as the slug), of its title and of its
-body are compared; a body of few distinct terms that share nothing with title or address is low in information, and a
-body whose skeleton (numbers and ids taken out) comes back in several records, counted over the whole collection and
-by host, is a stock response. A weak signal counts in a low-information record, or in a stock response of at least
-``copies`` records on ``hosts`` hosts. Stock or low-information text without any detector is never flagged: notes may be
-short and licences repeat.
+No detector flags by itself. The terms of each hit are compared with those of the record's address (source, repository and file
+name as the slug), its title and the rest of its body: a hit that shares at most half of its terms with them is a mismatch and weighs 1 more.
+A record is low in information, which weighs 1 more, if it has few distinct terms and its body shares none or one with title and address. The
+skeleton of a hit (numbers and ids taken out) is counted over the whole collection and by host: one that comes back in
+``copies`` records on ``hosts`` hosts is a stock response and weighs 1 more. A record with a hit of ``needed`` (3) or more is residue.
+Stock or low-information text without any hit is never flagged: notes may be short and licences repeat.
 
 Defined results: null and empty texts are no cases; repeated records each get their own result; null source, repository
-or file count as one more host and give no address terms; texts are read whole.
+or file count as one more host and give no address terms; texts are read whole, of any length and number of lines.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from siltstone.session import materialize, pick, salted_join, spread
 
@@ -75,10 +74,10 @@ CODE3 = r"(?:4\d\d|5\d\d)"
 PHRASE = r"(?:not\s+found|forbidden|bad\s+(?:gateway|request)|service\s+(?:temporarily\s+)?unavailable|internal\s+server\s+error|gateway\s+time-?out|too\s+many\s+requests|unauthori[sz]ed|gone|access\s+denied|method\s+not\s+allowed|request\s+time-?out|payload\s+too\s+large)"
 ERROR_LINE = re.compile(
     rf"""(?xi)^\W*(?:
-      (?:http\s+(?:status|error)|error|fehler|erreur|status|code)\s*(?:code\s*)?[:#]?\s*{CODE3}\b.* | {CODE3}\s*[-:.|]?\s*{PHRASE}\b.{{0,120}} | {PHRASE}\W*(?:[:!.-]\s.{{0,160}})?$
-      | (?:something\s+went\s+wrong|oops|sorry|whoops|uh[\s-]oh|we\s+hit\s+a\s+snag|an?\s+(?:unexpected\s+)?error\s+(?:has\s+)?occurred|that(?:'s|\s+is)\s+an\s+error|server\s+error|application\s+error)\b\W*(?:[:!.,-]\s*.{{0,160}})?$
+      (?:http\s+(?:status|error)|error|fehler|erreur|status|code)\s*(?:code\s*)?[:#]?\s*{CODE3}\b.* | {CODE3}\s*[-:.|]?\s*{PHRASE}\b.* | {PHRASE}\W*(?:(?:[:!-]|(?<!gone)\.)\s.*)?$
+      | (?:something\s+went\s+wrong|oops|sorry|whoops|uh[\s-]oh|we\s+hit\s+a\s+snag|an?\s+(?:unexpected\s+)?error\s+(?:has\s+)?occurred|that(?:'s|\s+is)\s+an\s+error|server\s+error|application\s+error)\b\W*(?:[:!.,-]\s*.*)?$
       | (?:we\s+)?could\s+not\s+(?:render|display|show|load|open|find)\s+(?:the\s+|this\s+)?(?:view|page|record|document|site|archive|file)\b.* | (?:you\s+have\s+(?:used\s+up|exceeded|reached)\s+your|rate\s+limit\s+exceeded|quota\s+exceeded|too\s+many\s+requests)\b.*
-      | your\s+(?:session|login)\s+(?:has\s+)?(?:timed\s+out|expired)\b.* | your\s+(?:address|ip|account|access)\b.*\b(?:blocked|denied|suspended|banned)\b.* | (?:log|sign)\s+in\s+(?:again\s+)?to\s+(?:see|view|continue|read)\b.* | you\s+(?:do\s+not|don't)\s+have\s+(?:permission|access)\b.* | access\s+(?:to\s+\S+\s+)?(?:was\s+|is\s+)?denied\b.{{0,60}}
+      | your\s+(?:session|login)\s+(?:has\s+)?(?:timed\s+out|expired)\b.* | your\s+(?:address|ip|account|access)\b.*\b(?:blocked|denied|suspended|banned)\b.* | (?:log|sign)\s+in\s+(?:again\s+)?to\s+(?:see|view|continue|read)\b.* | you\s+(?:do\s+not|don't)\s+have\s+(?:permission|access)\b.* | access\s+(?:to\s+\S+\s+)?(?:was\s+|is\s+)?denied\b.*
       | (?:this|the|that)\s+(?:page|row|record|site|document|file|service|entry|view|archive|\w+)\s+(?:was\s+removed\s+by|has\s+been\s+removed|could\s+not\s+be\s+(?:found|loaded|displayed|shown|read)|does\s+not\s+exist|is\s+(?:temporarily\s+)?(?:down|unavailable|not\s+available|offline|closed)|you\s+(?:asked|are\s+looking)\s+for)\b.* | (?:down|closed)\s+for\s+maintenance\b.*
       | (?:zugriff\s+(?:verweigert|gesperrt)|seite\s+(?:nicht\s+gefunden|konnte\s+nicht)|die\s+(?:seite|ansicht)\b.*\b(?:nicht\s+(?:gefunden|geladen|angezeigt|verfügbar))|accès\s+(?:refusé|interdit)|page\s+(?:introuvable|non\s+trouvée)|la\s+page\b.*\b(?:introuvable|pas\s+pu|n'a\s+pas|n'existe)|acceso\s+(?:denegado|prohibido)|página\s+no\s+encontrada|no\s+se\s+(?:pudo|puede|ha\s+podido)\s+(?:mostrar|cargar|encontrar)|etwas\s+ist\s+schief|une\s+erreur\b|algo\s+salió\s+mal|se\s+ha\s+producido\s+un\s+error)\b.*
       | (?:le\s+(?:service|site)|la\s+page)\b.{{0,30}}\b(?:indisponible|inaccessible)\b.* | (?:der\s+dienst|die\s+seite|der\s+server)\b.{{0,30}}\b(?:nicht\s+(?:verfügbar|erreichbar)|gestört|überlastet)\b.* | (?:el\s+(?:servicio|sitio)|la\s+página)\b.{{0,30}}\bno\s+(?:está\s+disponible|existe)\b.* | (?:the\s+)?(?:service|site|server)\s+is\s+(?:temporarily\s+|currently\s+)?(?:unavailable|down|overloaded|busy)\b.*
@@ -94,10 +93,6 @@ FURNITURE = re.compile(
 )
 
 
-# lines longer than these can't be what the patterns above describe
-FURNITURE_MOST, STUB_MOST = 160, 200
-
-
 def prose_of(text: str) -> str:
     """The text without code and quotations; lines stay lines."""
     t = FENCE.sub("", text.replace("\r\n", "\n").replace("\r", "\n"))
@@ -145,86 +140,120 @@ NEEDS = {
 SLOT_MARKS = ("{", "<%", "@@", "[[", "%", "__", "$$", "~~")
 
 
-def signals(text: str) -> tuple[list[str], list[str]]:
-    """(strong, weak) kinds of residue in a record's own text."""
+HEADING = re.compile(r"#{1,6}\s|[=-]{3,}$")
+SENTENCE_END = re.compile(r"(?<=[.!?])\s+(?=[^\W\d_a-z])")
+
+
+def unit_at(text: str, start: int, stop: int) -> tuple[int, int]:
+    """The sentence or line around a place; of several lines, all of them."""
+    a, b = text.rfind("\n", 0, start) + 1, text.find("\n", stop)
+    b = len(text) if b < 0 else b
+    for m in SENTENCE_END.finditer(text, a, b):
+        if m.end() <= start:
+            a = m.end()
+        elif m.start() >= stop:
+            b = m.start()
+            break
+    return a, b
+
+
+def hits(text: str) -> list[tuple[str, int, int, int]]:
+    """(kind, weight, start, stop) of what the detectors hit, in places of ``prose_of(text)``."""
     low = text.lower()
     prose = prose_of(text)
-    plain = QUOTED.sub(" ", prose)
-    strong, weak = [], []
+    plain = QUOTED.sub(lambda m: " " * len(m.group()), prose)  # places stay the same
+    out = []
     for kind, rx in STRONG.items():
-        if not any(x in low for x in NEEDS[kind]):
-            continue
-        m = rx.search(prose if kind in ("scripts", "undefined") else plain)
-        if m:
-            strong.append(kind)
-    slots = [m.group() for m in SLOT.finditer(plain)] if any(x in plain for x in SLOT_MARKS) else []
-    slots += [m.group() for m in (BRACKET.finditer(plain) if "[" in plain or "<" in plain or "{" in plain else ()) if m.group()[1:-1].split(" ")[0].lower() not in HTML_TAG]
-    if slots:
-        strong.append("slot")
-    lines = [x.strip() for x in plain.split("\n") if x.strip()]
-    body = [x for x in lines if len(x) > FURNITURE_MOST or not FURNITURE.match(x)]
-    heads = sum(bool(re.match(r"#{1,6}\s|[=-]{3,}$", x)) for x in body)
-    if any(filler(x) for x in lines):
-        strong.append("filler")
-    stubs = [x for x in body if len(x) <= STUB_MOST and STUB_LINE.match(x)]
-    if stubs and len(stubs) + heads >= len(body):
-        strong.append("stub")  # nothing but headings and stubs
-    elif stubs:
-        weak.append("stub")
-    errors = [x for x in body if ERROR_LINE.match(x)] if len(body) <= 4 else []
-    if errors:
-        strong.append("error page")
-    elif len(body) <= 12 and any(ERROR_LINE.match(x) for x in body):
-        weak.append("error line")
-    if lines and not body:
-        weak.append("furniture")
-    return strong, weak
+        if any(x in low for x in NEEDS[kind]):
+            body = prose if kind in ("scripts", "undefined") else plain
+            out += [(kind, 2, *unit_at(prose, *m.span())) for m in rx.finditer(body)]
+    if any(x in plain for x in SLOT_MARKS):
+        out += [("slot", 2, *unit_at(prose, *m.span())) for m in SLOT.finditer(plain)]
+    if "[" in plain or "<" in plain or "{" in plain:
+        out += [("slot", 2, *unit_at(prose, *m.span())) for m in BRACKET.finditer(plain) if m.group()[1:-1].split(" ")[0].lower() not in HTML_TAG]
+    lines, at, fresh = [], 0, True  # (line, place, does it begin a block)
+    for x in plain.split("\n"):
+        if x.strip():
+            lines.append((x.strip(), at + len(x) - len(x.lstrip()), fresh))
+        fresh = not x.strip()
+        at += len(x) + 1
+    body = [x for x in lines if not FURNITURE.match(x[0])]
+    stubs = []
+    for n, (x, a, fresh) in enumerate(body):
+        if filler(x):
+            out.append(("filler", 2, a, a + len(x)))
+        if STUB_LINE.match(x):
+            stubs.append((a, a + len(x)))
+        # what a page of error says begins a block; a heading says it only as the record's first line
+        if ERROR_LINE.match(x) and (n == 0 or not HEADING.match(x)):
+            out.append(("error page", 2 if fresh or n == 0 else 1, a, a + len(x)))
+    heads = sum(bool(HEADING.match(x[0])) for x in body)
+    weight = 2 if stubs and len(stubs) + heads >= len(body) else 1  # nothing but headings and stubs
+    out += [("stub", weight, a, b) for a, b in stubs]
+    return out
+
+
+def compared_hits(text: str) -> list[tuple]:
+    """(kind, weight, terms, alien, few, shared, body, skeleton) of every hit of a record: how many terms it has, those found nowhere
+    else in the record, whether the record has few terms at all, how many of its body are in its title, and which aren't (of few ones)."""
+    found = hits(text)
+    if not found:
+        return []
+    prose = prose_of(text)
+    rest, at = [], 0
+    for a, b in sorted({h[2:] for h in found}):
+        rest.append(prose[at:a])
+        at = max(at, b)
+    other = terms_of(" ".join([*rest, prose[at:]]))
+    lines = [x.strip() for x in text.splitlines() if x.strip()]
+    title, body = terms_of(lines[0]), terms_of("\n".join(lines[1:]))
+    few = len(title | body) <= 30
+    out = {}
+    for kind, weight, a, b in found:
+        own = terms_of(prose[a:b]) - SMALL
+        out[(kind, weight, a, b)] = (kind, weight, len(own), sorted(own - other), few, len(body & title), sorted(body - title) if few else [], skeleton(prose[a:b]))
+    return list(out.values())
 
 
 def skeleton(text: str) -> str:
-    """The text without what changes from copy to copy: numbers, ids, blanks and case."""
-    t = re.sub(r"\b[0-9a-f]*\d[0-9a-f.]*\b", "0", text.lower())
+    """The text without what changes from copy to copy: numbers, ids, names with inner marks, blanks and case."""
+    t = re.sub(r"\b[0-9a-f]*\d[0-9a-f.]*\b|\w*(?:[./_:-]\w+)+", "0", text.lower())
     return re.sub(r"\s+", " ", re.sub(r"0(?:[.\s]*0)*", "0", t)).strip()
 
 
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        rows = []
-        for doc, text, host, slug in zip(b["doc_id"], b["text"], b["host"], b["slug"]):
-            if not text or not text.strip():
-                continue
-            strong, weak = signals(text)
-            if not strong and not weak:
-                continue
-            lines = [x.strip() for x in text.splitlines() if x.strip()]
-            title, body = terms_of(lines[0]), terms_of("\n".join(lines[1:]))
-            address = terms_of((slug or "").replace("_", " "))
-            low = len(title | body) <= 30 and len(body & (title | address)) <= 1
-            rows.append((doc, host, strong, weak, low, skeleton(text)))
-        yield pd.DataFrame(rows, columns=["doc_id", "host", "strong", "weak", "low", "skeleton"])
-
-
-FEATURES = T.StructType([
-    T.StructField("doc_id", T.LongType()), T.StructField("host", T.StringType()), T.StructField("strong", T.ArrayType(T.StringType())),
-    T.StructField("weak", T.ArrayType(T.StringType())), T.StructField("low", T.BooleanType()), T.StructField("skeleton", T.StringType()),
-])
-
-
-def find_residue(documents: DataFrame, files: DataFrame | None = None, copies: int = 4, hosts: int = 2) -> DataFrame:
-    """(doc_id, kinds, low, copies, hosts) of the records to drop. ``files`` (file_id, file_name) gives addresses their slugs."""
-    d = pick(documents, "doc_id", "text", "source", "repo", "file_id").where("doc_id is not null").select("doc_id", "text", F.coalesce(F.lower(F.trim("source")), F.lit("")).alias("host"), F.col("repo"), F.col("file_id").cast("long").alias("file_id"))
-    if files is not None:
+        rows = [(*r, *h) for *r, text in zip(b["doc_id"], b["host"], b["repo"], b["file_id"], b["text"]) if text and text.strip() for h in compared_hits(text)]
+        out = pd.DataFrame(rows, columns=["doc_id", "host", "repo", "file_id", "kind", "weight", "terms", "alien", "few", "shared", "body", "skeleton"])
+        yield out.astype({"file_id": "Int64"})
+
+
+FEATURES = "doc_id long, host string, repo string, file_id long, kind string, weight int, terms int, alien array<string>, few boolean, shared int, body array<string>, skeleton string"
+
+
+def weighed_hits(documents: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """(doc_id, host, kind, weight, key): hits with what the comparison with address, title and body adds to them."""
+    docs = pick(documents, "doc_id", "text", "source", "repo", "file_id").where("doc_id is not null and text is not null").select("doc_id", "text", F.coalesce(F.lower(F.trim("source")), F.lit("")).alias("host"), F.col("repo"), F.col("file_id").cast("long").alias("file_id"))
+    h = materialize(spread(docs, "doc_id").mapInPandas(_features, FEATURES), "hits")
+    if files is not None:  # only hits meet the names of files, no texts; those that name no file keep out, so that their null key isn't hot
         names = pick(files, "file_id", "file_name").where("file_id is not null").groupBy(F.col("file_id").cast("long").alias("file_id")).agg(F.max("file_name").alias("file_name"))
-        # most records name no file: those keep out of the join, so that its null key isn't hot
-        d = d.where("file_id is not null").join(names, "file_id", "left").unionByName(d.where("file_id is null").withColumn("file_name", F.lit(None).cast("string")))
-    else:
-        d = d.withColumn("file_name", F.lit(None).cast("string"))
-    d = d.select("doc_id", "text", "host", F.concat_ws(" ", "host", "repo", "file_name").alias("slug"))
-    f = materialize(spread(d, "doc_id").mapInPandas(_features, FEATURES).withColumn("key", F.xxhash64("skeleton")).drop("skeleton"), "residue")
-    # stock responses: counts by skeleton, combined before the shuffle; only weak records need them
-    weak = f.where((F.size("strong") == 0))
-    strong = f.where(F.size("strong") > 0).select("doc_id", F.col("strong").alias("kinds"), "low", F.lit(None).cast("long").alias("copies"), F.lit(None).cast("long").alias("hosts"))
-    stock = weak.groupBy("key", "host").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("copies"), F.count("*").alias("hosts"))
-    # one stock response may be a large part of all records, so its rows are spread
-    judged = salted_join(weak, stock, "key", "doc_id", "inner").where(F.col("low") | ((F.col("copies") >= copies) & (F.col("hosts") >= hosts)))
-    return strong.unionByName(judged.select("doc_id", F.col("weak").alias("kinds"), "low", "copies", "hosts"))
+        h = salted_join(h.where("file_id is not null"), names, "file_id", "doc_id").unionByName(h.where("file_id is null").withColumn("file_name", F.lit(None).cast("string")))
+    slug = F.concat_ws(" ", "host", "repo", *(["file_name"] if files is not None else []))
+    address = F.array_distinct(F.regexp_extract_all(F.lower(F.translate(slug, "_", " ")), F.lit(r"\p{L}{3,}"), F.lit(0)))
+    known = F.col("terms") - F.size("alien") + F.size(F.array_intersect("alien", address))
+    mismatch = 2 * known <= F.col("terms")
+    low = F.col("few") & (F.col("shared") + F.size(F.array_intersect("body", address)) <= 1)
+    return h.select("doc_id", "host", "kind", (F.col("weight") + mismatch.cast("int") + low.cast("int")).alias("weight"), F.xxhash64("skeleton").alias("key"))
+
+
+def find_residue(documents: DataFrame, files: DataFrame | None = None, copies: int = 4, hosts: int = 2, needed: int = 3) -> DataFrame:
+    """(doc_id, kinds) of the records to drop, with the kinds of the hits that weigh enough. ``files`` (file_id, file_name) gives
+    addresses their slugs."""
+    h = weighed_hits(documents, files)
+    # stock responses: counted by skeleton and host, combined before the shuffle; hits that weigh enough without need none
+    sure = h.where(F.col("weight") >= needed).select("doc_id", "kind")
+    stock = h.groupBy("key", "host").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("copies"), F.count("*").alias("hosts"))
+    stock = stock.where((F.col("copies") >= copies) & (F.col("hosts") >= hosts)).select("key")
+    # one stock response may be a large part of all hits, so its rows are spread
+    backed = salted_join(h.where(F.col("weight") == needed - 1), stock, "key", "doc_id", "inner").select("doc_id", "kind")
+    return sure.unionByName(backed).groupBy("doc_id").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
