@@ -149,7 +149,7 @@ def layout(text: str) -> dict:
     kept = sum(min(n, own[x]) for x, n in Counter(BLANKS.sub("", x) for x in c.lines).items())
     lines = len(c.lines)
     masked = Counter(DIGITS.sub("0", re.sub(r"0x[0-9a-f]+", "0", x.strip())) for x in code)
-    same = max(max(c.shapes.values(), default=0) / max(1, lines), max(masked.values(), default=0) / max(1, len(code)))
+    same = max(max(c.shapes.values(), default=0) / lines if lines >= 6 else 0.0, max(masked.values(), default=0) / max(1, len(code)))
     return {
         "expansion": lines / max(1, len(code)),
         "longest": max(map(len, code), default=0),
