@@ -170,8 +170,9 @@ class PartitionedIncrement:
 
     # -- a run ----------------------------------------------------------------------------------------------------
     def _commit(self, **parts) -> None:
-        self.manifest = self.manifest | parts
-        self.folder.put("manifest", self.manifest)
+        new = self.manifest | parts
+        self.folder.put("manifest", new)
+        self.manifest = new
 
     def run(self, changes: DataFrame, first_state: DataFrame | None = None, run_id: str | None = None, appended: bool = False, acknowledge: bool = True, fail_after: str | None = None) -> DataFrame:
         """One whole run: returns the changes that this run took, and those of earlier runs which nobody got.

@@ -51,13 +51,14 @@ def to_table(df: DataFrame, mode: str = "complete") -> DataFrame:
 
 
 def apply_changes(changes: DataFrame, store: SortedRuns) -> SortedRuns:
-    """Appends every micro-batch of a change feed to the store as a sorted run; empty batches add none."""
+    """Appends every micro-batch of a change feed to the store as a sorted run; empty batches add none, and one that the stream runs
+    again is not added twice. The checkpoint lies in the store, so a later call goes on where this one stopped."""
 
-    def each(batch: DataFrame, _: int) -> None:
+    def each(batch: DataFrame, n: int) -> None:
         if not batch.isEmpty():
-            store.append(batch)
+            store.append(batch, f"batch{n}")
 
-    drain(changes, each)
+    drain(changes, each, store.root)
     return store
 
 

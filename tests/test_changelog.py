@@ -39,7 +39,36 @@ def test_random_against_brute_force(spark):
     for r in sorted(rows):
         last[r[1]] = r
     assert alive(s) == {p: (r[0], r[3]) for p, r in last.items() if r[2] != "deleted"}
-    assert len(s.runs) <= 3
+    assert [r["level"] for r in s.runs] == [2, 0]  # five runs, merged by twos
+    assert len(s.folder.names("runs")) <= len(s.runs) + 2  # replaced ones are deleted
+
+
+def test_opened_again(spark):
+    s = SortedRuns(spark, buckets=2, fan_in=3)
+    s.append(feed(spark, [(5, "a", "modified", "h5"), (1, "b", "created", "h1")]), "one")
+    s.append_slices(feed(spark, [(3, "b", "deleted", None), (2, "c", "created", "h2")]), "recorded_at", 2)
+    want = {"a": (5, "h5"), "c": (2, "h2")}
+    for name in {r["name"] for r in s.runs}:
+        spark.sql(f"DROP TABLE {name}")  # as in a new session; the files stay
+    again = SortedRuns(spark, root=s.root, buckets=7)
+    assert again.buckets == 2 and alive(again) == want
+    again.append(feed(spark, [(9, "a", "deleted", None)]), "one")  # the same batch once more
+    assert alive(again) == want
+    again.append(feed(spark, [(9, "a", "deleted", None)]), "two")
+    assert alive(SortedRuns(spark, root=s.root)) == {"c": (2, "h2")}
+
+
+def test_broken_attempts_leave_nothing(spark, monkeypatch):
+    s = SortedRuns(spark, buckets=2)
+    s.append(feed(spark, [(1, "a", "created", "h1")]))
+    monkeypatch.setattr(s.folder, "put", lambda *_: (_ for _ in ()).throw(OSError("gone")))
+    for attempt in (lambda: s.append(feed(spark, [(2, "a", "deleted", None)])), s.compact):
+        try:
+            attempt()
+        except OSError:
+            pass
+    again = SortedRuns(spark, root=s.root)
+    assert alive(again) == {"a": (1, "h1")} and len(again.folder.names("runs")) == 1
 
 
 def test_merge_reads_runs_without_exchange(spark):
