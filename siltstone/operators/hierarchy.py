@@ -2,10 +2,10 @@
 
 Bottom-up peeling: leaves are taken off round by round and hand their subtree sizes to their parents; what is never
 peeled lies on circles. Reverse peel order assigns depth, root and path. A chain would need as many rounds as it has
-nodes, so a round also takes out nodes with a single child (of neighbours only one, by a coin per node and round), whose
+nodes, so a round also takes out nodes with a single child that is no leaf (of neighbours only one, by a coin per node and round), whose
 child then points past them and carries their ids; the number of rounds grows with the logarithm of the number of nodes.
-Each round is written to the shared folder, which cuts the lineage. Once no more than ``finish_rows`` nodes are left
-(counted, so the bound is proven), one task peels those in memory; all others have been peeled in rounds before.
+Each round is written to the shared folder, which cuts the lineage. The last ``finish_rows`` nodes (two thousand; counted, so the bound is
+proven) are peeled by one task in memory, as further rounds would cost more than they hold.
 
 Defined results: repeated nodes: the row with the latest ``order`` value holds (ties: the larger parent); a null id is no
 node; a null parent, or one without a row, makes a root with depth 0; a node on a circle or below one has depth -1, the
@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.session import materialize, pick, salted_join
+from siltstone.session import discard, materialize, pick, salted_join
 
 TREE = "id long, root long, depth int, subtree long, path_ids array<long>, path_names array<string>"
 
@@ -125,7 +125,7 @@ def _finish(batches: Iterator[pd.DataFrame], paths: bool) -> Iterator[pd.DataFra
         todo += [(k, p, q) for k in kids.get(i, ())]
 
 
-def hierarchy(nodes: DataFrame, paths: bool = True, finish_rows: int = 200_000) -> DataFrame:
+def hierarchy(nodes: DataFrame, paths: bool = True, finish_rows: int = 2_000) -> DataFrame:
     """(id, root, depth, subtree, path_ids, path_names) of every node of ``nodes`` (id, parent, name).
 
     ``path_ids`` runs from the root to the node itself; with ``paths=False`` both paths are null and less is moved."""
@@ -135,18 +135,23 @@ def hierarchy(nodes: DataFrame, paths: bool = True, finish_rows: int = 200_000)
         "links",
     )
     removed: list[DataFrame] = []
+    written = [active]  # of no use once the result is written
     rings = False
     while not rings and active.count() > finish_rows:
         r = len(removed)
         coin = lambda c: F.pmod(F.xxhash64(c, F.lit(r)), F.lit(2)) == 1
         # partial aggregation: a parent with a third of all nodes as children is no hot key here
-        kids = active.where("up is not null").groupBy(F.col("up").alias("id")).agg(F.count("*").alias("kids"), F.min("id").alias("child"))
-        a = active.join(kids, "id", "left")
+        inner = active.where("up is not null").groupBy(F.col("up").alias("id")).agg(F.count("*").alias("kids"), F.min("id").alias("child"))
+        a = active.join(inner, "id", "left")
+        # is the only child a leaf itself?
+        above = a.where("up is not null").groupBy(F.col("up").alias("id")).agg(F.max(F.col("kids").isNotNull()).alias("deep"))
+        a = a.join(above, "id", "left")
         ring = F.coalesce((F.col("kids") == 1) & ((F.col("up") == F.col("child")) | (F.col("up") == F.col("id"))), F.lit(False))  # a circle of two or one stays
-        single = F.coalesce((F.col("kids") == 1) & F.col("up").isNotNull() & ~ring & coin("id") & ~coin("up"), F.lit(False))
-        # leaves and single children take turns, so that no node's parent goes in the same round
-        how = F.when(single, 1) if r % 2 else F.when(F.col("kids").isNull(), 0)
-        log = materialize(a.withColumn("how", how).withColumn("ring", ring), "peel")
+        single = F.coalesce((F.col("kids") == 1) & F.col("up").isNotNull() & F.col("deep") & ~ring & coin("id") & ~coin("up"), F.lit(False))
+        # no node's parent goes in the same round: a parent of leaves has a leaf as child, and of neighbours the coin takes one
+        how = F.when(F.col("kids").isNull(), 0).when(single, 1)
+        log = materialize(a.withColumn("how", how).withColumn("ring", ring).drop("deep"), "peel")
+        written.append(log)
         out = log.where("how is not null")
         removed.append(out)
         bent = F.col("how") == 1
@@ -166,6 +171,7 @@ def hierarchy(nodes: DataFrame, paths: bool = True, finish_rows: int = 200_000)
                 (F.col("acc") + F.coalesce("give", F.lit(0))).alias("acc"), F.least("low", "in_low").alias("low"),
             ), "links",
         )
+        written.append(active)
     if rings and active.count() > finish_rows:  # nothing but circles of one or two: each knows its other half
         other = active.select(F.col("id").alias("up"), F.col("low").alias("low2"))
         done = active.join(other, "up", "left").select("id", F.least("low", "low2").alias("root"), F.lit(-1).alias("depth"), F.lit(None).cast("long").alias("subtree"), F.lit(None).cast("array<long>").alias("path_ids"), F.lit(None).cast("array<string>").alias("path_names"))
@@ -190,7 +196,9 @@ def hierarchy(nodes: DataFrame, paths: bool = True, finish_rows: int = 200_000)
                 for above_col, skip, own, kind, to in (("pi", "skip", "id", "array<long>", "path_ids"), ("pn", "skip_names", "name", "array<string>", "path_names"))
             ],
         )
-        done = materialize(done.unionByName(here), "done")
+        before, done = done, materialize(done.unionByName(here), "done")
+        discard(before)
+    discard(*written)
     return done
 
 
@@ -200,7 +208,7 @@ def descendants(tree: DataFrame) -> DataFrame:
     return tree.where("path_ids is not null").select(F.col("id").alias("descendant"), "depth", at).select("ancestor", "descendant", (F.col("depth") - F.col("at")).cast("int").alias("distance"))
 
 
-def descendants_of_all(nodes: DataFrame, finish_rows: int = 200_000) -> DataFrame:
+def descendants_of_all(nodes: DataFrame, finish_rows: int = 2_000) -> DataFrame:
     """(ancestor, descendant, distance) of every node of ``nodes`` (id, parent, name), those on and below circles too.
 
     A circle is cut above its smallest id, which makes a tree of it and of all below it. What a node has above it in that

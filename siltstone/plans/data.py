@@ -1,13 +1,11 @@
-"""Queries p1_ to p4_: the general operators on the project's tables."""
+"""Queries p1_, p3_ and p4_: the general operators on the project's tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.functions import scalars as S
 from siltstone.operators.changelog import SortedRuns
-from siltstone.operators.frequency import ngram_counts, term_marks, token_registry
 from siltstone.operators.hierarchy import descendants_of_all, hierarchy, valid_rows
 from siltstone.operators.incremental import PartitionedIncrement
 from siltstone.session import table
@@ -24,21 +22,6 @@ def p1_next_state(spark: SparkSession, d: str) -> DataFrame:
     return store.state().select(F.col("path").alias("rel_path"), "last_seq", "hash", "size")
 
 
-def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return term_marks(table(spark, d, "token_locations")).select("token", "mark")
-
-
-def p2_registry(spark: SparkSession, d: str) -> DataFrame:
-    return token_registry(table(spark, d, "token_locations"))
-
-
-def p2_document_ngrams(spark: SparkSession, d: str) -> DataFrame:
-    """How many n-grams of each length up to three the documents hold, and how often the most frequent one occurs."""
-    docs = table(spark, d, "documents").select("doc_id", S.words(F.col("text")).alias("terms"))
-    grams = ngram_counts(docs, "doc_id", "terms", 3)
-    return grams.groupBy(F.size("gram").alias("n")).agg(F.count("*").alias("grams"), F.sum("occurrences").alias("occurrences"), F.max("occurrences").alias("top_occurrences"), F.max("records").alias("top_records"))
-
-
 def _folders(spark: SparkSession, d: str) -> DataFrame:
     f = table(spark, d, "folder_details")
     return valid_rows(f.withColumn("name", F.regexp_extract(F.rtrim(F.col("folder_name")), r"([^/\\]*)[/\\]*$", 1)), "folder_id", "parent_folder_id", "name", "updated_at")
@@ -82,7 +65,7 @@ def p4_compacted(spark: SparkSession, d: str) -> DataFrame:
     return store.merge().groupBy("dead").agg(F.count("*").alias("n"), F.max("seq").alias("last_seq"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_next_state, p2_found, p2_registry, p2_document_ngrams, p3_found, p3_paths, p3_descendants, p3_lineage_check, p4_found, p4_compacted)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_next_state, p3_found, p3_paths, p3_descendants, p3_lineage_check, p4_found, p4_compacted)}
 
 _CLEAN = "regexp_replace(regexp_replace(regexp_replace(trim(rel_path), '[\\\\/]+', '/', 'g'), '(^|/)(?:\\./)+', '\\1', 'g'), '(.)(?:/\\.)?/?$', '\\1')"
 _KIND = "CASE WHEN lower(trim(change_type)) LIKE 'delet%' OR lower(trim(change_type)) LIKE 'remov%' THEN 'deleted' ELSE 'other' END"
@@ -93,8 +76,6 @@ _CHANGES = f"""changes AS (SELECT seq, min(coalesce({_CLEAN}, '')) AS path, min(
   FROM change_events WHERE seq IS NOT NULL GROUP BY seq)""".replace("{kind}", _KIND)
 _PENDING = f"""WITH {_VALID_STATE}, {_CHANGES}, pending AS (SELECT c.* FROM changes c LEFT JOIN valid v ON c.path = v.path
   WHERE v.path IS NULL OR v.last_seq IS NULL OR c.seq > v.last_seq OR c.arrival > v.updated)"""
-_WORD = "CASE WHEN token_kind = 'word' THEN lower(nfc_normalize(regexp_replace(token, '^\\s+|\\s+$', '', 'g'))) ELSE token END"
-_OCC = f"SELECT DISTINCT token_kind, {_WORD} AS token, location_key, line, start_col, end_col FROM token_locations"
 _TREE = """WITH RECURSIVE f AS (SELECT folder_id AS id, parent_folder_id AS parent, regexp_extract(rtrim(folder_name), '([^/\\\\]*)[/\\\\]*$', 1) AS name FROM (
   SELECT *, row_number() OVER (PARTITION BY folder_id ORDER BY updated_at DESC, parent_folder_id DESC NULLS LAST, folder_name DESC) AS rn FROM folder_details) WHERE rn = 1),
 l AS (SELECT f.id, f.name, p.id AS up FROM f LEFT JOIN f p ON p.id = f.parent),
@@ -112,21 +93,16 @@ SELECT coalesce(v.path, n.path) AS rel_path, greatest(v.last_seq, n.seq) AS last
   CASE WHEN n.seq IS NOT NULL AND (v.last_seq IS NULL OR n.seq > v.last_seq) THEN CASE WHEN n.kind = 'deleted' THEN NULL ELSE nullif(n.new_hash, '-') END ELSE v.hash END AS hash,
   CASE WHEN n.seq IS NOT NULL AND (v.last_seq IS NULL OR n.seq > v.last_seq) THEN CASE WHEN n.kind = 'deleted' THEN NULL ELSE nullif(n.new_size, -1) END ELSE v.size END AS size
 FROM valid v FULL JOIN news n ON v.path = n.path""",
-    "p2_found": f"""WITH o AS ({_OCC}), r AS (SELECT token, count(DISTINCT location_key) AS n FROM o WHERE token_kind = 'word' AND token IS NOT NULL GROUP BY token),
-m AS (SELECT count(DISTINCT location_key) AS n FROM token_locations)
-SELECT token, CASE WHEN r.n < 3 THEN 'rare' ELSE 'common' END AS mark FROM r, m WHERE r.n < 3 OR r.n > 0.25 * m.n""",
-    "p2_registry": f"WITH o AS ({_OCC}) SELECT token_kind, token, count(*) AS occurrence_count, count(DISTINCT location_key) AS file_count FROM o WHERE token IS NOT NULL AND token_kind IN ('word', 'string') GROUP BY 1, 2",
-    "p2_document_ngrams": """WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS a FROM documents),
-s AS (SELECT doc_id, a, unnest(range(1, len(a) + 1)) AS i FROM w),
-g AS (SELECT 1 AS n, doc_id, a[i:i] AS g FROM s UNION ALL SELECT 2, doc_id, a[i:i+1] FROM s WHERE i + 1 <= len(a) UNION ALL SELECT 3, doc_id, a[i:i+2] FROM s WHERE i + 2 <= len(a)),
-k AS (SELECT n, g, count(*) AS occ, count(DISTINCT doc_id) AS recs FROM g GROUP BY 1, 2)
-SELECT n::int AS n, count(*) AS grams, sum(occ)::bigint AS occurrences, max(occ) AS top_occurrences, max(recs) AS top_records FROM k GROUP BY n""",
     "p3_found": f"{_TREE} SELECT id AS folder_id, root AS root_folder_id, depth::int AS depth FROM t UNION ALL SELECT id, root, -1 FROM low",
     "p3_paths": f"""{_TREE}, below AS (SELECT a, count(*) AS n FROM (SELECT unnest(ids) AS a FROM t) GROUP BY a)
 SELECT id AS folder_id, path, n AS folders_below FROM t JOIN below ON a = id
 UNION ALL SELECT r.id, NULL, (SELECT count(DISTINCT x.id) FROM (SELECT id, x AS y FROM c UNION SELECT id, id FROM res) x WHERE x.y = r.id) FROM res r WHERE r.id NOT IN (SELECT id FROM ring)
 UNION ALL SELECT id, NULL, NULL FROM ring""",
-    "p3_descendants": f"{_TREE} SELECT a AS folder_id, id AS descendant_id, (depth - k + 1)::int AS distance FROM (SELECT id, depth, unnest(ids) AS a, unnest(range(1, len(ids) + 1)) AS k FROM t)",
+    # below circles: the walk up from each node, as far as it meets nobody twice
+    "p3_descendants": f"""{_TREE}, walk AS (SELECT id, id AS x, 0 AS k, [id] AS seen FROM res
+  UNION ALL SELECT w.id, r.up, w.k + 1, list_append(w.seen, r.up) FROM walk w JOIN res r ON r.id = w.x WHERE NOT list_contains(w.seen, r.up))
+SELECT a AS folder_id, id AS descendant_id, (depth - k + 1)::int AS distance FROM (SELECT id, depth, unnest(ids) AS a, unnest(range(1, len(ids) + 1)) AS k FROM t)
+UNION ALL SELECT x, id, k::int FROM walk""",
     "p3_lineage_check": f"""{_TREE}, d AS (SELECT id, depth FROM t UNION ALL SELECT id, -1 FROM low)
 SELECT CASE WHEN depth IS NULL THEN 'no folder' WHEN depth < 0 THEN 'circle' WHEN depth = depth_index THEN 'agrees' ELSE 'differs' END AS state, count(*) AS n FROM file_folder_lineage LEFT JOIN d ON id = folder_id GROUP BY 1""",
     "p4_found": f"""SELECT path AS rel_path, seq, new_hash FROM (SELECT coalesce({_CLEAN}, '') AS path, seq, {_KIND} AS kind, new_hash,

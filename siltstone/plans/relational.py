@@ -293,7 +293,7 @@ def lexical(spark, d):
     return x.select("*", *[c.alias(k) for k, c in r.items()])
 
 
-@query("""WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS token FROM documents) SELECT token, count(*) AS documents FROM w WHERE length(token) >= 3 GROUP BY 1 ORDER BY documents DESC, token LIMIT 20""")
+@query(r"""WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{M}]+(?:[''’\-][\p{L}\p{M}]+)*|\p{Nd}[\p{Nd},.]*\p{Nd}|\p{Nd}'))) AS token FROM documents) SELECT token, count(*) AS documents FROM w WHERE length(token) >= 3 GROUP BY 1 ORDER BY documents DESC, token LIMIT 20""")
 def top_terms(spark, d):
     w = t(spark, d, "documents").select(F.explode(F.array_distinct(S.words(F.col("text")))).alias("token"))
     return w.where(F.length("token") >= 3).groupBy("token").agg(F.count("*").alias("documents")).orderBy(F.desc("documents"), "token").limit(20)
