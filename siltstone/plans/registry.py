@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from siltstone.plans import data, parsing, relational, views
+from siltstone.plans import data, parsing, relational, reports, views
 
-MODULES = (data, views, relational, parsing)
+MODULES = (data, views, reports, relational, parsing)
 
 
 def queries() -> dict[str, Callable]:

@@ -39,25 +39,6 @@ BASES = {
     "data_relations": "SELECT l_orderkey AS dataset_id, l_linenumber AS relation_id, CASE WHEN l_linenumber = 1 THEN 'correlation' ELSE 'reference' END AS relation_type, l_returnflag AS left_column, l_linestatus AS right_column, l_tax - l_discount AS value FROM lineitem",
     "data_tensors": "SELECT l_orderkey AS dataset_id, l_linenumber AS tensor_id, l_returnflag AS dtype, CAST(floor(l_quantity) AS BIGINT) AS num_elements, CAST(floor(l_quantity * 8) AS BIGINT) AS num_bytes FROM lineitem",
     "data_properties": "SELECT p_brand AS group_name FROM part",
-    "grep_patterns": "SELECT pattern_id, pattern_name, category, is_sensitive FROM grep_pattern_catalog",
-    "tokens": "SELECT token_kind, token, occurrence_count, file_count, hash_id FROM token_registry",
-    "locations": "SELECT location_key, count(*) AS tokens, min(line) AS first_line, max(line) AS last_line FROM token_locations GROUP BY location_key",
-    "file_families": "SELECT file_id, CASE extension_name WHEN '.md' THEN 'document' WHEN '.json' THEN 'data' WHEN '.yaml' THEN 'config' WHEN '.ini' THEN 'config' WHEN '.env' THEN 'config' WHEN '.css' THEN NULL ELSE 'code' END AS family, size FROM files LEFT JOIN file_extensions ON file_extension_id = extension_id",
-    "changes": "SELECT DISTINCT seq, batch_id, lower(trim(change_type)) AS change_type, analyzer_class, lines_added, lines_removed FROM change_events",
-    "batches": "SELECT batch_id, count(DISTINCT seq) AS events, min(recorded_at) AS first_at, max(recorded_at) AS last_at FROM change_events GROUP BY batch_id",
-    "doc_rows": "SELECT doc_id, lang, lower(trim(source)) AS source, n_chars, doc_id % 11 AS form_fields, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE doc_id % 5 END AS scripts FROM documents",
-    "doc_quality": "SELECT doc_id, n_chars / 100.0 AS flesch, n_chars % 17 AS grade FROM documents WHERE doc_id % 6 <> 0",
-    "doc_entities": "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'email' WHEN doc_id % 4 = 1 THEN 'url' ELSE 'date' END AS category, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 1 END AS valid FROM documents",
-    "doc_chunks": "SELECT doc_id, n_chars % 7 AS chunk_no, n_chars % 256 + 1 AS tokens FROM documents",
-    "metric_rows": "SELECT source AS component, CASE WHEN n_chars > 800 THEN 1 ELSE 0 END AS computed FROM doc_rows",
-    "runs": "SELECT o_orderkey AS run_id, o_orderpriority AS provider, o_orderstatus AS component, o_custkey % 5 AS issues, o_totalprice / 100000.0 AS confidence, CASE WHEN o_custkey % 6 = 0 THEN NULL ELSE o_custkey % 2 END AS ok FROM orders",
-    "run_notes": "SELECT o_orderkey AS run_id, o_totalprice AS cost, o_custkey % 2 AS needs_review FROM orders WHERE o_custkey % 5 <> 0",
-    "loops": "SELECT l_orderkey AS run_id, l_linenumber AS step, l_returnflag AS action FROM lineitem",
-    "eval_cases": "SELECT o_orderkey AS case_id, o_orderpriority AS family, CASE o_orderstatus WHEN 'O' THEN 'all' ELSE o_orderstatus END AS pii_type, o_totalprice / 200000.0 AS score, o_custkey % 100 / 100.0 AS recall FROM orders",
-    "enriched": "SELECT file_id, family, size, file_id % 3 AS findings, file_id % 4 AS flags, CASE WHEN file_id % 5 = 0 THEN 0 ELSE 1 END AS has_doc, CASE WHEN file_id % 2 = 0 THEN 'extract' ELSE 'none' END AS provenance FROM file_families",
-    "security_flags": "SELECT file_id, pattern_id, severity FROM (SELECT f.file_id, p.pattern_id, CASE WHEN p.is_sensitive = 1 THEN 'high' ELSE 'low' END AS severity FROM files f JOIN grep_pattern_catalog p ON p.pattern_id = f.file_id % 26 + 1) x",
-    "quality_findings": "SELECT file_id, CASE file_id % 4 WHEN 0 THEN 'long_lines' WHEN 1 THEN 'no_newline' WHEN 2 THEN 'mixed_indent' ELSE 'todo' END AS rule FROM files",
-    "unified_sources": "SELECT n_regionkey AS source, n_nationkey % 2 AS is_view FROM nation",
 }
 
 V = View
@@ -99,77 +80,8 @@ _ALL = [
     V("data_largest_tensors", "data_tensors", "datasets.dataset_id, data_tensors.tensor_id, data_tensors.num_bytes", joins=(("datasets", "data_tensors.dataset_id = datasets.dataset_id", "inner"),), order="-num_bytes, dataset_id, tensor_id", limit=25),
     V("data_properties_by_group", "data_properties", "group_name", "properties=count(*)", order="-properties, group_name", limit=25),
     V("data_entities_per_file", "datasets", "files.file_id, files.file_name", "datasets=count(*)", (("files", "datasets.file_id = files.file_id", "inner"),), order="-datasets, file_id", limit=25),
-    # concordance, patterns, languages
-    V("token_frequency", "tokens", "token, occurrence_count, hash_id", where="token_kind = 'word'", order="-occurrence_count, token, hash_id"),
-    V("string_frequency", "tokens", "token, occurrence_count, hash_id", where="token_kind = 'string'", order="-occurrence_count, token, hash_id"),
-    V("token_file_spread", "tokens", "token, token_kind", "files=max(file_count), occurrences=sum(occurrence_count)", where="file_count > 1", order="-files, -occurrences, token, token_kind"),
-    V("location_summary", "locations", "location_key, tokens, first_line, last_line", order="-tokens, location_key"),
-    V("files_by_family", "file_families", "family=coalesce(family, 'other')", "files=count(*), bytes=sum(size)", order="-files, family"),
-    V("grep_by_pattern", "grep_hits", "grep_patterns.pattern_name, grep_patterns.category", "matches=count(*), files=count(DISTINCT grep_hits.file_id)", (("grep_patterns", "grep_hits.pattern_id = grep_patterns.pattern_id", "inner"),), order="-matches, pattern_name"),
-    V("grep_by_category", "grep_hits", "grep_patterns.category", "matches=count(*), patterns=count(DISTINCT grep_hits.pattern_id), files=count(DISTINCT grep_hits.file_id)", (("grep_patterns", "grep_hits.pattern_id = grep_patterns.pattern_id", "inner"),), order="-matches, category"),
-    V("grep_secrets", "grep_hits", "grep_patterns.category, grep_patterns.pattern_name, grep_hits.file_id, grep_hits.line", joins=(("grep_patterns", "grep_hits.pattern_id = grep_patterns.pattern_id", "inner"),), where="grep_patterns.is_sensitive = 1", order="category, pattern_name, file_id, line"),
-    V("grep_files_at_risk", "grep_hits", "grep_hits.file_id", "hits=count(*), kinds=count(DISTINCT grep_hits.pattern_id)", (("grep_patterns", "grep_hits.pattern_id = grep_patterns.pattern_id", "inner"),), where="grep_patterns.is_sensitive = 1", order="-hits, file_id"),
-    V("grep_file_detail", "grep_hits", "file_id, pattern_id, line", order="file_id, pattern_id, line"),
-    V("lang_by_construct", "constructs", "language, kind, construct", "hits=count(*), files=count(DISTINCT file_id)", order="-hits, language, kind, construct"),
-    V("lang_by_language", "constructs", "language", "hits=count(*), files=count(DISTINCT file_id), constructs=count(DISTINCT construct)", order="-hits, language"),
-    V("lang_by_kind", "constructs", "kind", "hits=count(*), files=count(DISTINCT file_id)", order="-hits, kind"),
-    V("file_language", "constructs", "file_id, language", "hits=count(*), constructs=count(DISTINCT construct)", order="-hits, file_id, language"),
-    V("lang_file_detail", "constructs", "file_id, language, construct, line", order="file_id, language, construct, line"),
-    # documents, evaluation, enrichment
-    V("active_content_risk", "doc_rows", "doc_rows.doc_id, doc_rows.scripts, doc_quality.grade", joins=(("doc_quality", "doc_rows.doc_id = doc_quality.doc_id", "left"),), where="doc_rows.scripts > 2 OR doc_rows.form_fields > 8", order="doc_id"),
-    V("readability", "doc_rows", "doc_rows.doc_id, doc_rows.lang, doc_quality.flesch, doc_quality.grade", joins=(("doc_quality", "doc_rows.doc_id = doc_quality.doc_id", "left"),), order="doc_id"),
-    V("entity_counts", "doc_entities", "category", "n=count(*), valid=sum(valid)", order="-n, category"),
-    V("chunk_stats", "doc_chunks", "chunk_no", "chunks=count(*), mean=avg(tokens), least=min(tokens), most=max(tokens), total=sum(tokens)", order="chunk_no"),
-    V("metric_coverage", "metric_rows", "component", "metrics=count(*), computed=sum(computed)", order="-metrics, component"),
-    V("dynamic_review_queue", "runs", "runs.run_id, runs.issues, run_notes.cost", joins=(("run_notes", "runs.run_id = run_notes.run_id", "left"),), where="run_notes.needs_review = 1 OR runs.issues > 3", order="run_id"),
-    V("dynamic_grounding", "runs", "runs.run_id, runs.confidence, run_notes.cost", joins=(("run_notes", "runs.run_id = run_notes.run_id", "left"),), order="-confidence, run_id"),
-    V("dynamic_reasoning_issues", "runs", "runs.run_id, runs.component, runs.issues, run_notes.needs_review", joins=(("run_notes", "runs.run_id = run_notes.run_id", "left"),), where="runs.issues > 0", order="-issues, run_id"),
-    V("dynamic_loop_activity", "loops", "action", "steps=count(*), last=max(step)", order="-steps, action"),
-    V("dynamic_provider_usage", "runs", "runs.provider", "runs=count(*), ok=sum(CASE WHEN runs.ok = 1 THEN 1 ELSE 0 END), reviewed=sum(CASE WHEN run_notes.needs_review = 1 THEN 1 ELSE 0 END)", (("run_notes", "runs.run_id = run_notes.run_id", "left"),), order="-runs, provider"),
-    V("dynamic_component_coverage", "runs", "component", "runs=count(*), ok=sum(ok)", order="-runs, component"),
-    V("evaluation_rag_scorecard", "eval_cases", "case_id, family, score", order="-score, case_id"),
-    V("evaluation_pii_by_type", "eval_cases", "pii_type", "score=avg(score), recall=avg(recall)", where="pii_type <> 'all'", order="pii_type"),
-    V("evaluation_judge_usage", "runs", "runs.component", "judged=sum(CASE WHEN runs.ok IS NOT NULL THEN 1 ELSE 0 END), cost=sum(run_notes.cost)", (("run_notes", "runs.run_id = run_notes.run_id", "left"),), order="-judged, component"),
-    V("evaluation_component_coverage", "eval_cases", "family", "cases=count(*)", order="-cases, family"),
-    V("mcp_family_summary", "enriched", "family", "files=count(*), bytes=sum(size), findings=sum(findings), flags=sum(flags), documented=sum(has_doc)", order="-files, family"),
-    V("mcp_files_at_risk", "enriched", "enriched.file_id", "high=sum(CASE WHEN security_flags.severity = 'high' THEN 1 ELSE 0 END), low=sum(CASE WHEN security_flags.severity = 'low' THEN 1 ELSE 0 END), findings=max(enriched.findings)", (("security_flags", "enriched.file_id = security_flags.file_id", "inner"),), order="-high, -findings, file_id"),
-    V("mcp_security_by_pattern", "security_flags", "pattern_id", "hits=count(*), files=count(DISTINCT file_id)", order="-hits, pattern_id"),
-    V("mcp_quality_by_rule", "quality_findings", "rule", "findings=count(*), files=count(DISTINCT file_id)", order="-findings, rule"),
-    V("mcp_doc_coverage", "enriched", "family", "symbols=count(*), documented=sum(has_doc), undocumented=count(*) - sum(has_doc)", order="-symbols, family"),
-    V("mcp_summary_provenance", "enriched", "provenance", "files=count(*)", order="-files, provenance"),
-    V("mcp_provider_usage", "runs", "runs.provider", "calls=count(*), failed=sum(CASE WHEN runs.ok = 0 THEN 1 ELSE 0 END), cost=sum(coalesce(run_notes.cost, 0))", (("run_notes", "runs.run_id = run_notes.run_id", "left"),), order="-calls, provider"),
-    V("mcp_component_coverage", "runs", "component, provider", "runs=count(*)", order="-runs, component, provider"),
-    V("unified_sources", "unified_sources", "source", "tables=sum(CASE WHEN is_view = 0 THEN 1 ELSE 0 END), views=sum(CASE WHEN is_view = 1 THEN 1 ELSE 0 END)", order="source"),
-    # changes
-    V("recent_changes", "changes", "seq, batch_id, change_type, lines_added, lines_removed", order="-seq, batch_id, change_type, lines_added, lines_removed"),
-    V("change_type_summary", "changes", "change_type", "changes=count(*), added=sum(lines_added), removed=sum(lines_removed)", order="-changes, change_type"),
-    V("changes_by_analyzer", "changes", "shown=coalesce(analyzer_class, '(none)')", "changes=count(*)", group="analyzer_class", order="-changes, shown"),
-    V("recent_batches", "batches", "batch_id, events, first_at, last_at", order="-batch_id"),
 ]
 VIEWS = {v.name: v for v in _ALL}
-# Constructs by language, found line by line.
-CONSTRUCTS = [
-    ("python", "definition", "def", r"^\s*def \w+"), ("python", "definition", "class", r"^\s*class \w+"), ("python", "import", "import", r"^import \w+"),
-    ("javascript", "definition", "function", r"^\s*function \w+"), ("javascript", "import", "import", r"^import \{"), ("javascript", "definition", "arrow", r"=> "),
-    ("go", "definition", "func", r"^func \w+"), ("go", "definition", "type", r"^type \w+ struct"), ("c", "import", "include", r"^#include "),
-    ("sql", "definition", "table", r"^CREATE TABLE "), ("sql", "query", "select", r"^SELECT "), ("java", "definition", "method", r"^\s*(?:public|private) \w+ \w+\("),
-]
-
-
-def grep_hits(spark: SparkSession, d: str) -> DataFrame:
-    """(file_id, pattern_id, line) for every line that a catalogue pattern matches: one pass over the lines for all patterns."""
-    from siltstone.operators.textscan import scan_lines
-
-    pats = [(r["pattern_id"], r["regex"]) for r in table(spark, d, "grep_pattern_catalog").select("pattern_id", "regex").limit(2_000).collect()]  # a catalogue, not data
-    return scan_lines(table(spark, d, "file_texts"), "file_id", "text", pats).select("file_id", "pattern_id", "line")
-
-
-def constructs(spark: SparkSession, d: str) -> DataFrame:
-    from siltstone.operators.textscan import scan_lines
-
-    hits = scan_lines(table(spark, d, "file_texts"), "file_id", "text", [(i, c[3]) for i, c in enumerate(CONSTRUCTS)])
-    names = spark.createDataFrame([(i, *c[:3]) for i, c in enumerate(CONSTRUCTS)], "pattern_id int, language string, kind string, construct string")
-    return hits.join(names, "pattern_id").select("file_id", "language", "kind", "construct", "line")
 
 
 def catalog(spark: SparkSession, d: str) -> Catalog:
@@ -186,16 +98,10 @@ def catalog(spark: SparkSession, d: str) -> Catalog:
 
     for n, sql in BASES.items():
         cat.tables[n] = lambda sql=sql: base(sql)
-    cat.tables["grep_hits"] = lambda: grep_hits(spark, d)
-    cat.tables["constructs"] = lambda: constructs(spark, d)
     return cat
 
 
-_LINES = "SELECT file_id, unnest(string_split(text, chr(10))) AS body, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM file_texts"
-_SQL_BASES = BASES | {
-    "grep_hits": f"SELECT file_id, pattern_id, line FROM ({_LINES}) JOIN grep_pattern_catalog ON regexp_matches(rtrim(body, chr(13)), regex)",
-    "constructs": f"SELECT file_id, language, kind, construct, line FROM ({_LINES}) JOIN (VALUES " + ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in c) + ")" for c in CONSTRUCTS) + ") AS c(language, kind, construct, rx) ON regexp_matches(rtrim(body, chr(13)), rx)",
-}
+_SQL_BASES = BASES
 
 
 def oracle(v: View) -> str:
