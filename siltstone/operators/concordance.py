@@ -57,6 +57,11 @@ def _lines(text: str) -> Iterator[tuple[int, str]]:
         yield n, line.rstrip("\r")
 
 
+def lines(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, line, body): lines of texts as rows, in the JVM. A null text has no lines, an empty one has one empty line."""
+    return df.where(F.col(text).isNotNull()).select(key, F.posexplode(F.split(text, "\n")).alias("at", "body")).select(key, (F.col("at") + 1).alias("line"), F.regexp_replace("body", "\r+$", "").alias("body"))
+
+
 def _rows(found: list[tuple], columns: list[str]) -> pd.DataFrame:
     return pd.DataFrame(found, columns=columns)
 

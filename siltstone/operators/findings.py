@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.scalars import sentiment
 
+# Thresholds of the quality rules, and the formats in which dates are tried, in this order.
 LONG_LINE, HUGE = 120, 1_000_000
 DATES = ("yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "dd-MM-yyyy", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "yyyy/MM/dd")
 # Unicode scripts by family, in the order in which equal counts are decided.
@@ -19,6 +20,7 @@ def quality_findings(texts: DataFrame, key: str, text: str) -> DataFrame:
     ls = F.split(t, "\n")
     n = lambda f: F.size(F.filter(ls, f))
     tabs, blanks = n(lambda x: x.startswith("\t")), n(lambda x: x.startswith(" "))
+    # fixed values: the names and severities of the rules
     rules = [
         ("long_lines", "info", n(lambda x: F.length(x) > LONG_LINE)),
         ("trailing_whitespace", "info", n(lambda x: x.rlike(r"[ \t]+$"))),
@@ -45,8 +47,9 @@ def dominant_script(text: Column) -> Column:
 
 
 def parse_money(value: Column) -> Column:
-    raw = F.regexp_extract(value, r"([-+]?\$?\s*\d{1,3}(?:[,\s]\d{3})*(?:\.\d+)?|\d+(?:\.\d+)?)", 1)
-    return F.regexp_replace(raw, r"[$,\s]", "").try_cast("double")
+    """The first amount in a value: groups of digits with commas or blanks between them, or digits; a sign before, a fraction behind."""
+    digits = F.regexp_extract(value, r"([+-]?)\s*[$€£¥]?\s*(\d{1,3}(?:[, ]\d{3})+|\d+)((?:\.\d+)?)", 0)
+    return F.regexp_replace(digits, r"[$€£¥,\s]", "").try_cast("double")
 
 
 def parse_date(value: Column) -> Column:

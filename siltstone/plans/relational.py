@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from siltstone.functions import scalars as S
 from siltstone.functions.paths import clean_path
 from siltstone.operators import linkage, profile, retention
+from siltstone.operators.concordance import lines
 from siltstone.operators.hierarchy import hierarchy
-from siltstone.operators.textscan import lines
 from siltstone.plans.data import _CLEAN, _TREE, _folders
 from siltstone.session import spread, table
 
@@ -253,10 +253,11 @@ def line_metrics(spark, d):
     return t(spark, d, "file_texts").select("file_id", F.size(ls).alias("line_count"), F.size(F.filter(ls, lambda x: F.trim(bare(x)) == "")).alias("blank"), F.array_max(F.transform(ls, lambda x: F.length(bare(x)))).alias("longest"), F.regexp_count("text", F.lit(r"\b(?:TODO|FIXME)\b")).alias("todo"))
 
 
-@query("SELECT event_id, json_extract_string(props, '$.k') AS k, CASE WHEN json_valid(props) THEN len(json_keys(props)) END AS keys, json_valid(props) AS valid FROM events")
+@query("""SELECT event_id, json_extract_string(props, '$.k') AS k, CASE WHEN json_valid(props) THEN len(json_keys(props)) END AS keys, json_valid(props) AS valid,
+CASE WHEN json_valid(props) THEN 1 + (len(json_keys(props)) > 0)::int END AS depth FROM events""")
 def json_metrics(spark, d):
     m = S.json_metrics(F.col("props"))
-    return t(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.when(m["valid"], m["keys"]).cast("long").alias("keys"), m["valid"].alias("valid"))
+    return t(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.when(m["valid"], m["keys"]).cast("long").alias("keys"), m["valid"].alias("valid"), F.when(m["valid"], m["depth"]).alias("depth"))
 
 
 @query("SELECT doc_id, len(regexp_extract_all(text, '(?m)^#{1,6}\\s+\\S')) AS headings, len(regexp_extract_all(text, '(?m)^\\s*(?:[-*+]|\\d+[.)])\\s+\\S')) AS list_items, len(regexp_extract_all(text, '(?m)^```')) // 2 AS fences FROM documents")
@@ -285,7 +286,7 @@ def redacted_texts(spark, d):
 @query()
 def lexical(spark, d):
     """Words, distinct words, sentences, syllables and the readability formulas of every document."""
-    w, s = S.words(F.col("text")), S.sentences(F.col("text"))
+    w, s = S.letter_words(F.col("text")), S.sentences(F.col("text"))
     x = spread(t(spark, d, "documents").select("doc_id", "text"), "doc_id").select("doc_id", w.alias("w"), F.greatest(F.size(s), F.lit(1)).alias("n_sentences"))
     syl = F.transform("w", S.syllables)
     x = x.select("doc_id", "n_sentences", F.size("w").alias("n_words"), F.size(F.array_distinct("w")).alias("distinct_words"), F.aggregate(syl, F.lit(0), lambda a, v: a + v).alias("n_syllables"), F.aggregate("w", F.lit(0), lambda a, v: a + F.length(v)).alias("n_chars"), F.size(F.filter(syl, lambda v: v >= 3)).alias("n_complex"))

@@ -195,7 +195,7 @@ q AS (SELECT document_id, file_name, len(w) AS n, ns, coalesce(list_sum(syl), 0)
 
 def readability_of(spark, d) -> DataFrame:
     """(document_id, file_name, formula, score): six formulas of every document, over words with letters only."""
-    w, s = F.filter(S.words(F.col("text")), lambda x: x.rlike(r"(?U)^\p{L}")), S.sentences(F.col("text"))
+    w, s = S.letter_words(F.col("text")), S.sentences(F.col("text"))
     x = documents(spark, d).where("text is not null").select("document_id", "file_name", w.alias("w"), F.greatest(F.size(s), F.lit(1)).alias("ns"))
     syl = F.transform("w", S.syllables)
     x = x.select("document_id", "file_name", "ns", F.size("w").alias("n"), F.aggregate(syl, F.lit(0), lambda a, v: a + v).alias("sy"), F.aggregate("w", F.lit(0), lambda a, v: a + F.length(v)).alias("ch"), F.size(F.filter(syl, lambda v: v >= 3)).alias("cx"))
