@@ -109,7 +109,7 @@ def text_metrics(text: Column) -> dict[str, Column]:
     """Generic metrics of a text; lines as Python's splitlines has them: ended by line feeds, carriage returns and the other separators,
     and no empty one at the end."""
     ends = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
-    ls = F.split(F.regexp_replace(text, f"(?:{ends})$", ""), ends)
+    ls = F.split(F.regexp_replace(text, rf"(?:{ends})\z", ""), ends)
     ls = F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(ls)
     n = F.size(ls)
     lens = F.transform(ls, F.length)

@@ -41,19 +41,32 @@ def expected_calibration_error(x: DataFrame, bins: int = 10) -> DataFrame:
     return b.agg((F.sum(F.col("n") * F.abs(F.col("accuracy") - F.col("confidence"))) / F.sum("n")).alias("ece"))
 
 
-def risk_coverage(x: DataFrame) -> DataFrame:
-    """(confidence, coverage, risk): one row per distinct confidence, of all records at or above it."""
-    g = x.groupBy("confidence").agg(F.count("*").alias("n"), F.count_if(~F.col("correct")).alias("bad"))
-    w = Window.orderBy(F.desc("confidence")).rowsBetween(Window.unboundedPreceding, 0)  # distinct confidences only
-    total = F.sum("n").over(Window.partitionBy())
-    return g.select("confidence", (F.sum("n").over(w) / total).alias("coverage"), (F.sum("bad").over(w) / F.sum("n").over(w)).alias("risk"))
-
+def risk_coverage(x: DataFrame, parts: int = 256) -> DataFrame:
+    """(confidence, coverage, risk): one row per distinct confidence, of all records at or above it.
 
-def aurc(x: DataFrame) -> DataFrame:
-    """Area under the risk-coverage curve by trapezoids."""
-    w = Window.orderBy("coverage")
-    c = risk_coverage(x).select("coverage", "risk", F.lag("coverage").over(w).alias("c0"), F.lag("risk").over(w).alias("r0"))
-    return c.agg(F.coalesce(F.sum((F.col("coverage") - F.col("c0")) * (F.col("risk") + F.col("r0")) / 2), F.lit(0.0)).alias("aurc"))
+    Confidences may be as many as records, so running sums go over ``parts`` ranges of them first and then within each."""
+    g = x.groupBy("confidence").agg(F.count("*").alias("n"), F.count_if(~F.col("correct")).alias("bad"))
+    p = g.repartitionByRange(parts, F.desc("confidence")).withColumn("p", F.spark_partition_id())
+    sums = p.groupBy("p").agg(F.sum("n").alias("sn"), F.sum("bad").alias("sb"))  # ``parts`` rows at most
+    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select("p", F.coalesce(F.sum("sn").over(before), F.lit(0)).alias("bn"), F.coalesce(F.sum("sb").over(before), F.lit(0)).alias("bb"), F.sum("sn").over(Window.partitionBy()).alias("total"))
+    here = Window.partitionBy("p").orderBy(F.desc("confidence")).rowsBetween(Window.unboundedPreceding, 0)
+    y = p.select("p", "confidence", F.sum("n").over(here).alias("cn"), F.sum("bad").over(here).alias("cb")).join(F.broadcast(base), "p")
+    n, bad = F.col("bn") + F.col("cn"), F.col("bb") + F.col("cb")
+    return y.select("confidence", (n / F.col("total")).alias("coverage"), (bad / n).alias("risk"))
+
+
+def aurc(x: DataFrame, parts: int = 256) -> DataFrame:
+    """Area under the risk-coverage curve by trapezoids; each range of confidences sums up its own, and their edges are joined by a row
+    per range."""
+    c = risk_coverage(x, parts).repartitionByRange(parts, "coverage").withColumn("p", F.spark_partition_id())
+    w = Window.partitionBy("p").orderBy("coverage")
+    area = lambda c0, r0, c1, r1: (c1 - c0) * (r1 + r0) / 2
+    inner = c.select("p", "coverage", "risk", F.lag("coverage").over(w).alias("c0"), F.lag("risk").over(w).alias("r0"))
+    ends = inner.groupBy("p").agg(F.sum(area(F.col("c0"), F.col("r0"), F.col("coverage"), F.col("risk"))).alias("a"), F.min(F.struct("coverage", "risk")).alias("lo"), F.max(F.struct("coverage", "risk")).alias("hi"))
+    b = ends.withColumn("last", F.lag("hi").over(Window.orderBy("lo.coverage")))  # a row per range
+    gap = area(F.col("last.coverage"), F.col("last.risk"), F.col("lo.coverage"), F.col("lo.risk"))
+    return b.agg(F.coalesce(F.sum(F.coalesce("a", F.lit(0.0)) + F.coalesce(gap, F.lit(0.0))), F.lit(0.0)).alias("aurc"))
 
 
 def top_cosine(queries: DataFrame, base: DataFrame, k: int, block: int = 1000) -> DataFrame:
@@ -97,10 +110,20 @@ def top_cosine(queries: DataFrame, base: DataFrame, k: int, block: int = 1000) -
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def ranked_metrics(top: DataFrame) -> DataFrame:
-    """(qid, precision_at_10, reciprocal_rank, dcg) of ranked results (qid, rank, relevant); precision over what was returned."""
+def ranked_metrics(top: DataFrame, relevant: DataFrame | None = None) -> DataFrame:
+    """(qid, precision_at_k, recall_at_k, reciprocal_rank, dcg, ndcg_at_k) of ranked results (qid, rank, relevant).
+
+    Precision is over what was returned. ``relevant`` (qid, n) is how many there are at all: recall is 1 where there are none, and
+    the gain is compared with that of n relevant ones in front; without it, with what was returned."""
     r = F.col("relevant").cast("double")
-    return top.groupBy("qid").agg(F.round(F.avg(r), 6).alias("precision_at_10"), F.round(F.max(r / F.col("rank")), 6).alias("reciprocal_rank"), F.round(F.sum(r / F.log2(F.col("rank") + 1)), 6).alias("dcg"))
+    gain = lambda k: 1 / F.log2(k + 1)
+    g = top.groupBy("qid").agg(F.avg(r).alias("p"), F.sum(r).alias("hits"), F.max(r / F.col("rank")).alias("rr"), F.sum(r * gain(F.col("rank"))).alias("dcg"), F.count("*").alias("k"))
+    g = g.join(relevant.select("qid", "n"), "qid", "left").fillna(0, ["n"]) if relevant is not None else g.withColumn("n", F.col("hits").cast("long"))
+    best = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least("n", "k")).cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))
+    return g.select(
+        "qid", F.round("p", 6).alias("precision_at_k"), F.round(F.when(F.col("n") == 0, 1.0).otherwise(F.col("hits") / F.greatest(F.col("n"), F.lit(1))), 6).alias("recall_at_k"), F.round("rr", 6).alias("reciprocal_rank"),
+        F.round("dcg", 6).alias("dcg"), F.round(F.when(F.col("n") == 0, 0.0).otherwise(F.col("dcg") / best), 6).alias("ndcg_at_k"),
+    )
 
 
 # -- pairs of texts ---------------------------------------------------------------------------------------------------------

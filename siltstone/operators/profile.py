@@ -53,11 +53,15 @@ def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     )
 
 
+# Fixed value: of how many columns correlations are asked for at most.
+CORRELATED = 60
+
+
 def pearson_pairs(df: DataFrame, columns: list[str] | None = None, least: float = 0.3, most: int = 500) -> DataFrame:
     """(left_column, right_column, r): pairs of numeric columns with |r| of ``least`` or more, over the rows where both are
-    present; the ``most`` strongest. One aggregation for all pairs."""
+    present; the ``most`` strongest, of the first ``CORRELATED`` numeric columns. One aggregation for blocks of 400 pairs."""
     kinds = dict(df.dtypes)
-    cols = [c for c in (columns or df.columns) if kinds[c] in NUMBERS or kinds[c].startswith("decimal")]
+    cols = [c for c in (columns or df.columns) if kinds[c] in NUMBERS or kinds[c].startswith("decimal")][:CORRELATED]
     pairs = list(combinations(cols, 2))
     v = {c: _clean(df, c, kinds[c]).cast("double") for c in cols}
 
@@ -65,6 +69,11 @@ def pearson_pairs(df: DataFrame, columns: list[str] | None = None, least: float
         x, y = F.when(v[b].isNotNull(), v[a]), F.when(v[a].isNotNull(), v[b])
         return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))  # a constant column has no correlation
 
-    aggs = [corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]
-    flat = df.agg(*aggs).select(F.inline(F.array(*[F.struct(F.lit(a).alias("left_column"), F.lit(b).alias("right_column"), F.round(F.nanvl(f"r{i}", F.lit(None).cast("double")), 6).alias("r")) for i, (a, b) in enumerate(pairs)])))
+    flat = None
+    for at in range(0, max(1, len(pairs)), 400):  # as many expressions as one aggregation bears
+        part = pairs[at : at + 400]
+        rows = F.array(*[F.struct(F.lit(a).alias("left_column"), F.lit(b).alias("right_column"), F.round(F.nanvl(f"r{i}", F.lit(None).cast("double")), 6).alias("r")) for i, (a, b) in enumerate(part)])
+        one = df.agg(F.count("*").alias("n"), *[corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(part)])
+        one = one.select(F.inline(rows if part else F.array().cast("array<struct<left_column: string, right_column: string, r: double>>")))
+        flat = one if flat is None else flat.unionByName(one)
     return flat.where(F.abs("r") >= least).orderBy(F.abs("r").desc(), "left_column", "right_column").limit(most)

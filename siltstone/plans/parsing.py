@@ -13,7 +13,7 @@ from siltstone.operators.changelog import SortedRuns
 from siltstone.operators.evaluate import aurc, expected_calibration_error, pair_metrics
 from siltstone.plans.data import ORACLE as DATA_ORACLE
 from siltstone.plans.views import catalog
-from siltstone.session import scratch, table
+from siltstone.session import scratch, spread, table
 from siltstone.sources.files import byte_entropy, ordered_ids, read
 from siltstone.streaming import changes as C
 
@@ -75,14 +75,15 @@ def markup_elements(spark, d):
     return X.element_rollup(X.extract(table(spark, d, "documents").where(F.col("text").contains("<")), "doc_id", "text", X.elements, X.ELEMENTS))
 
 
-@query()
+@query("""WITH b AS (SELECT file_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS x FROM file_texts), c AS (SELECT file_id, x, count(*) AS n FROM b GROUP BY 1, 2), t AS (SELECT file_id, sum(n) AS t FROM c GROUP BY 1)
+SELECT file_id, round(coalesce(e, 0.0), 4) AS entropy FROM (SELECT DISTINCT file_id FROM file_texts) LEFT JOIN (SELECT file_id, -sum(n / t * log2(n / t)) AS e FROM c JOIN t USING (file_id) GROUP BY 1) USING (file_id)""")
 def text_entropy(spark, d):
     def run(batches):
         for b in batches:
             b["entropy"] = [byte_entropy(x.encode()) if x else 0.0 for x in b["text"]]
             yield b[["file_id", "entropy"]]
 
-    return table(spark, d, "file_texts").select("file_id", "text").mapInPandas(run, "file_id long, entropy double")
+    return spread(table(spark, d, "file_texts").select("file_id", "text"), "file_id").mapInPandas(run, "file_id long, entropy double")
 
 
 @query("SELECT row_number() OVER (ORDER BY rel_path) AS n, rel_path FROM (SELECT DISTINCT rel_path FROM file_state)")
@@ -172,15 +173,39 @@ def quality_findings(spark, d):
     return N.quality_findings(table(spark, d, "file_texts"), "file_id", "text")
 
 
-@query()
+_RANGES = {"Latin": "Latin", "Cyrillic": "Cyrillic", "Greek": "Greek", "Arabic": "Arabic", "Hebrew": "Hebrew", "CJK": "Han}\\p{Hiragana}\\p{Katakana}\\p{Hangul", "Devanagari": "Devanagari"}
+_SCRIPTS = ", ".join(f"len(regexp_extract_all(text, '[\\p{{{r}}}]'))" for r in _RANGES.values())
+
+
+@query(f"""WITH l AS (SELECT doc_id, text, list_filter(list_transform(string_split_regex(text, '\\r\\n?|\\n'), lambda x: trim(regexp_replace(trim(x, ' '), '^[#/*<!\\-;% ]+', ''), ' ')), lambda x: x <> '' AND NOT regexp_matches(x, '^(?:import|from|package|using) ')) AS ls, [{_SCRIPTS}] AS n FROM documents)
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN left(array_to_string(ls[1:3], ' '), 280) END AS summary, CASE WHEN list_max(n) > 0 THEN [{', '.join(repr(k) for k in _RANGES)}][list_position(n, list_max(n))] ELSE 'unknown' END AS script FROM l""")
 def summaries(spark, d):
     """Extractive summary and script of every document."""
     return table(spark, d, "documents").select("doc_id", N.summary(F.col("text")).alias("summary"), N.dominant_script(F.col("text")).alias("script"))
 
 
-@query()
+_TYPES = "list_distinct(regexp_extract_all(lower(coalesce({0}, '')), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+'))"
+_BAG = "regexp_extract_all(lower(coalesce({0}, '')), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+')"
+
+
+def _coverage(a: str, b: str) -> str:
+    x, y = _TYPES.format(a), _TYPES.format(b)
+    return f"CASE WHEN len({x}) = 0 THEN 1.0 ELSE len(list_intersect({x}, {y})) / len({x}) END"
+
+
+def _f1(a: str, b: str) -> str:
+    x, y = _BAG.format(a), _BAG.format(b)
+    hit = f"coalesce(list_sum(list_transform(list_distinct({x}), lambda v: least(len(list_filter({x}, lambda q: q = v)), len(list_filter({y}, lambda q: q = v))))), 0)"
+    return f"CASE WHEN len({x}) = 0 AND len({y}) = 0 THEN 1.0 ELSE 2 * {hit} / (len({x}) + len({y})) END"
+
+
+@query(f"""WITH i AS (SELECT item_id AS case_id, text AS ref, regexp_extract(text, '([^.]*)$', 1) AS question, regexp_extract(text, '^([^.]*\\.)', 1) AS answer FROM eval_items),
+c AS (SELECT *, list_filter(string_split_regex(regexp_replace(trim(answer, ' '), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ') <> '') AS claims, coalesce(nullif(ref, ''), answer) AS target FROM i),
+s AS (SELECT case_id, CASE WHEN len(claims) = 0 THEN 1.0 ELSE len(list_filter(claims, lambda c: {_coverage('c', 'ref')} >= 0.6)) / len(claims) END AS faithfulness, {_f1('answer', 'question')} AS answer_relevancy, ({_coverage('target', 'ref')} >= 0.3)::int::double AS context_precision, {_coverage('ref', 'ref')} AS context_recall, {_f1('answer', 'ref')} AS factual_correctness FROM c)
+SELECT case_id, round(faithfulness, 6) AS faithfulness, round(answer_relevancy, 6) AS answer_relevancy, round(context_precision, 6) AS context_precision, round(context_recall, 6) AS context_recall, round(factual_correctness, 6) AS factual_correctness, round((faithfulness + answer_relevancy + context_precision + context_recall + factual_correctness) / 5, 6) AS score FROM s""")
 def answer_scores(spark, d):
     """Word statistics of evaluation items as questions, with a document's lines as contexts."""
     items = table(spark, d, "eval_items").select(F.col("item_id").alias("case_id"), F.regexp_extract("text", r"([^.]*)$", 1).alias("question"), "text", F.array("text").alias("contexts"))
     cases = items.select("case_id", "question", F.regexp_extract("text", r"^([^.]*\.)", 1).alias("answer"), "contexts", F.col("text").alias("reference"))
-    return M.answer_scores(cases)
+    x = M.answer_scores(cases)
+    return x.select("case_id", *[F.round(c, 6).alias(c) for c in x.columns[1:]])

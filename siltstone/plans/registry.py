@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from siltstone.plans import data, parsing, relational, reports, views
+from siltstone.plans import data, parsing, relational, reports, small, views
 
-MODULES = (data, views, reports, relational, parsing)
+MODULES = (data, views, reports, relational, parsing, small)
 
 
 def queries() -> dict[str, Callable]:

@@ -266,15 +266,31 @@ def markdown_counts(spark, d):
     return t(spark, d, "documents").select("doc_id", c["headings"].alias("headings"), c["list_items"].alias("list_items"), c["fences"].cast("long").alias("fences"))
 
 
-@query("SELECT doc_id, category, count(*) AS n FROM (SELECT doc_id, 'percent' AS category, unnest(list_distinct(regexp_extract_all(text, '\\b\\d+(?:\\.\\d+)?\\s?%'))) AS v FROM documents UNION ALL SELECT doc_id, 'email', unnest(list_distinct(regexp_extract_all(text, '\\b[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{2,}\\b'))) FROM documents UNION ALL SELECT doc_id, 'date_iso', unnest(list_distinct(regexp_extract_all(text, '\\b\\d{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\\d|3[01])\\b'))) FROM documents) GROUP BY 1, 2")
+_CHECKED = "list_sum(list_transform(list_reverse(string_split(regexp_replace(v, '\\D', '', 'g'), '')), lambda c, i: CASE WHEN i % 2 = 0 THEN (c::int * 2) - CASE WHEN c::int > 4 THEN 9 ELSE 0 END ELSE c::int END)) % 10 = 0"
+
+
+def _entity_sql(key: str, source: str) -> str:
+    """Distinct values of each text by category; cards by their check digit, and no account numbers, whose check SQL can't well express."""
+    rows = " UNION ALL ".join(f"SELECT {key}, '{c}' AS category, unnest(list_distinct(regexp_extract_all(text, '{rx.replace(chr(39), chr(39) * 2)}'))) AS v FROM {source}" for c, rx in S.ENTITIES.items() if c != "iban")
+    return f"e AS (SELECT * FROM ({rows}) WHERE category <> 'credit_card' OR ({_CHECKED}))"
+
+
+@query(f"WITH {_entity_sql('doc_id', 'documents')} SELECT doc_id, category, count(*) AS n FROM e GROUP BY 1, 2")
 def entity_counts(spark, d):
-    e = t(spark, d, "documents").select("doc_id", F.inline(S.entities(F.col("text"))))
-    return e.where(F.col("category").isin("percent", "email", "date_iso")).groupBy("doc_id", "category").agg(F.count("*").alias("n"))
+    e = t(spark, d, "documents").select("doc_id", F.inline(S.entities(F.col("text")))).where("category <> 'iban'")
+    return e.groupBy("doc_id", "category").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"WITH {_entity_sql('file_id', 'file_texts')} SELECT category, count(*) AS n, count(DISTINCT file_id) AS files FROM e GROUP BY 1")
 def entity_battery(spark, d):
-    return t(spark, d, "file_texts").select("file_id", F.inline(S.entities(F.col("text")))).groupBy("category").agg(F.count("*").alias("n"), F.count_distinct("file_id").alias("files"))
+    e = t(spark, d, "file_texts").select("file_id", F.inline(S.entities(F.col("text")))).where("category <> 'iban'")
+    return e.groupBy("category").agg(F.count("*").alias("n"), F.count_distinct("file_id").alias("files"))
+
+
+@query()
+def account_numbers(spark, d):
+    """Account numbers whose check digits agree."""
+    return t(spark, d, "file_texts").select("file_id", F.inline(S.entities(F.col("text")))).where("category = 'iban'")
 
 
 @query()
@@ -283,15 +299,20 @@ def redacted_texts(spark, d):
     return x.select("file_id", "text", F.regexp_count("text", F.lit(r"\[REDACTED:")).alias("places"))
 
 
-@query()
+_SYL = "regexp_replace(x, '[^a-z]', '', 'g')"
+_RUNS = f"len(regexp_extract_all({_SYL}, '[aeiouy]+'))"
+
+
+@query(f"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '\\p{{L}}[\\p{{L}}\\p{{M}}]*(?:[''’\\-]\\p{{L}}[\\p{{L}}\\p{{M}}]*)*') AS w, greatest(len(list_filter(string_split_regex(regexp_replace(trim(text, ' '), '([.!?…]["”’'')\\]]*)\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ') <> '')), 1) AS n_sentences FROM documents),
+y AS (SELECT *, list_transform(w, lambda x: CASE WHEN {_SYL} = '' THEN 0 ELSE greatest(1, {_RUNS} - CASE WHEN ends_with({_SYL}, 'e') AND {_RUNS} > 1 THEN 1 ELSE 0 END) END) AS s FROM w)
+SELECT doc_id, n_sentences::int AS n_sentences, len(w)::int AS n_words, len(list_distinct(w))::int AS distinct_words, coalesce(list_sum(s), 0)::int AS n_syllables, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::int AS n_chars, len(list_filter(s, lambda x: x >= 3))::int AS n_complex FROM y""")
 def lexical(spark, d):
-    """Words, distinct words, sentences, syllables and the readability formulas of every document."""
+    """Words, distinct words, sentences, syllables and letters of every document; the formulas are in ``view_readability``."""
     w, s = S.letter_words(F.col("text")), S.sentences(F.col("text"))
     x = spread(t(spark, d, "documents").select("doc_id", "text"), "doc_id").select("doc_id", w.alias("w"), F.greatest(F.size(s), F.lit(1)).alias("n_sentences"))
     syl = F.transform("w", S.syllables)
     x = x.select("doc_id", "n_sentences", F.size("w").alias("n_words"), F.size(F.array_distinct("w")).alias("distinct_words"), F.aggregate(syl, F.lit(0), lambda a, v: a + v).alias("n_syllables"), F.aggregate("w", F.lit(0), lambda a, v: a + F.length(v)).alias("n_chars"), F.size(F.filter(syl, lambda v: v >= 3)).alias("n_complex"))
-    r = S.readability(*[F.col(c) for c in ("n_words", "n_sentences", "n_syllables", "n_chars", "n_complex")])
-    return x.select("*", *[c.alias(k) for k, c in r.items()])
+    return x
 
 
 @query(r"""WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{M}]+(?:[''’\-][\p{L}\p{M}]+)*|\p{Nd}[\p{Nd},.]*\p{Nd}|\p{Nd}'))) AS token FROM documents) SELECT token, count(*) AS documents FROM w WHERE length(token) >= 3 GROUP BY 1 ORDER BY documents DESC, token LIMIT 20""")
@@ -308,10 +329,17 @@ def chunk_windows(spark, d):
     return x.select("doc_id", "chunk_no", "start", F.least(F.lit(256), F.col("n") - F.col("start")).alias("tokens"))
 
 
-@query()
+_PHRASES = ", ".join(f"({i}, '{m}', '{p.replace(chr(39), chr(39) * 2)}', {w})" for i, (m, ps) in enumerate(S.MOODS.items(), 1) for p, w in ps.items())
+
+
+@query(f"""WITH p(o, label, phrase, w) AS (VALUES {_PHRASES}), x AS (SELECT doc_id, lower(text) AS low, string_split_regex(lower(text), '\\W+') AS ws, trim(text, ' ') = '' AS blank FROM documents),
+s AS (SELECT doc_id, blank, o, label, sum(CASE WHEN CASE WHEN regexp_matches(phrase, '^[a-z0-9]+$') THEN list_contains(ws, phrase) ELSE contains(low, phrase) END THEN w ELSE 0 END)::double AS score FROM x, p GROUP BY 1, 2, 3, 4),
+b AS (SELECT doc_id, any_value(blank) AS blank, max(score) AS best, sum(score) AS total, arg_min(label, (-score, o)) AS label FROM s GROUP BY 1),
+c AS (SELECT CASE WHEN coalesce(blank, true) OR best <= 0 THEN 'neutral' ELSE label END AS label, CASE WHEN coalesce(blank, true) THEN 0 WHEN best <= 0 THEN 0.2 ELSE round(0.4 * best / total + 0.6 * least(1.0, best / 4.0), 3) END AS sure FROM b)
+SELECT label, count(*) AS documents, round(avg(sure), 6) AS confidence FROM c GROUP BY 1""")
 def sentiment_labels(spark, d):
     label, sure = S.sentiment(F.col("text"))
-    return t(spark, d, "documents").select(label.alias("label"), sure.alias("confidence")).groupBy("label").agg(F.count("*").alias("documents"), F.avg("confidence").alias("confidence"))
+    return t(spark, d, "documents").select(label.alias("label"), sure.alias("confidence")).groupBy("label").agg(F.count("*").alias("documents"), F.round(F.avg("confidence"), 6).alias("confidence"))
 
 
 # -- windows, changes, retention --------------------------------------------------------------------------------------------
@@ -399,14 +427,19 @@ def kpi_rollup(spark, d):
 
 
 @query("""WITH q AS (SELECT vec_id, embedding, label FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT q.vec_id AS qid, e.vec_id AS did, q.label = e.label AS rel, round(list_cosine_similarity(q.embedding::double[], e.embedding::double[]), 9) AS s FROM q JOIN embeddings e ON e.vec_id <> q.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, did) AS rk FROM s) SELECT qid, round(avg(CASE WHEN rel THEN 1.0 ELSE 0 END), 6) AS precision_at_10, round(max(CASE WHEN rel THEN 1.0 / rk ELSE 0 END), 6) AS reciprocal_rank,
-round(sum(CASE WHEN rel THEN 1 / log2(rk + 1) ELSE 0 END), 6) AS dcg FROM r WHERE rk <= 10 GROUP BY 1""")
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, did) AS rk FROM s), n AS (SELECT qid, sum(rel::int) AS n FROM s GROUP BY 1),
+m AS (SELECT qid, avg(CASE WHEN rel THEN 1.0 ELSE 0 END) AS p, sum(rel::int) AS hits, max(CASE WHEN rel THEN 1.0 / rk ELSE 0 END) AS rr, sum(CASE WHEN rel THEN 1 / log2(rk + 1) ELSE 0 END) AS dcg, count(*) AS k FROM r WHERE rk <= 10 GROUP BY qid)
+SELECT qid, round(p, 6) AS precision_at_k, round(CASE WHEN n = 0 THEN 1 ELSE hits / n END, 6) AS recall_at_k, round(rr, 6) AS reciprocal_rank, round(dcg, 6) AS dcg, round(CASE WHEN n = 0 THEN 0 ELSE dcg / list_sum(list_transform(range(1, least(n, k)::bigint + 1), lambda i: 1 / log2(i + 1))) END, 6) AS ndcg_at_k FROM m JOIN n USING (qid)""")
 def retrieval_metrics(spark, d):
+    """Ten nearest rows of every twentieth against all; relevant are rows of the same label."""
     from siltstone.operators.evaluate import ranked_metrics, top_cosine
 
     e = t(spark, d, "embeddings")
-    top = top_cosine(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding", "label"), e.select(F.col("vec_id").alias("did"), "embedding", F.col("label").alias("label2")), 10)
-    return ranked_metrics(top.withColumn("relevant", F.col("label") == F.col("label2")))
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding", "label")
+    top = top_cosine(q, e.select(F.col("vec_id").alias("did"), "embedding", F.col("label").alias("label2")), 10)
+    n = e.groupBy("label").agg(F.count("*").alias("n"))
+    relevant = q.join(n, "label").select("qid", (F.col("n") - 1).alias("n"))  # the row itself is no result
+    return ranked_metrics(top.withColumn("relevant", F.col("label") == F.col("label2")), relevant)
 
 
 @query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2")
