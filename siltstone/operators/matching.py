@@ -246,3 +246,36 @@ def grounding(cases: DataFrame) -> DataFrame:
     x = cases.select("case_id", score.alias("s"))
     n = F.size("s")
     return x.select("case_id", n.alias("claims"), F.size(F.filter("s", lambda v: v >= 0.9)).alias("grounded"), F.size(F.filter("s", lambda v: v < 0.5)).alias("unsupported"), F.coalesce(F.try_divide(F.aggregate("s", F.lit(0.0), lambda a, v: a + v), n), F.lit(1.0)).alias("faithfulness"))
+
+
+def longest_common(a: str | None, b: str | None) -> int:
+    """Length of the longest piece that two texts share, by a row of run lengths."""
+    if not a or not b:
+        return 0
+    x, y = np.frombuffer(a.encode("utf-32-le"), np.uint32), np.frombuffer(b.encode("utf-32-le"), np.uint32)
+    if len(x) > len(y):
+        x, y = y, x
+    run, best = np.zeros(len(y) + 1, np.int64), 0
+    for c in x:
+        new = np.zeros_like(run)
+        new[1:] = np.where(y == c, run[:-1] + 1, 0)
+        best, run = max(best, int(new.max())), new
+    return best
+
+
+def score_cases(cases: DataFrame, scorers: dict[str, object]) -> DataFrame:
+    """(case_id, family, metric, value, error): cases (case_id, family, pred, gold) scored by the scorer of their family, one function from
+    (pred, gold) to {metric: value} each. A case that its scorer can't take has its error and no value; unknown families have theirs too."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for i, f, p, g in zip(b["case_id"], b["family"], b["pred"], b["gold"]):
+                try:
+                    rows += [(i, f, m, float(v), None) for m, v in scorers[f](p, g).items()]
+                except Exception as e:  # noqa: BLE001  one case must not end the others
+                    rows.append((i, f, None, None, type(e).__name__))
+            yield pd.DataFrame(rows, columns=["case_id", "family", "metric", "value", "error"])
+
+    d = cases.select("case_id", "family", "pred", "gold")
+    return d.mapInPandas(run, f"case_id {dict(d.dtypes)['case_id']}, family string, metric string, value double, error string")

@@ -99,7 +99,8 @@ DEFINITIONS = re.compile(
 
 def pattern_symbols(text: str) -> list[tuple]:
     """Definitions and imports of sources without a parser of their own, by their usual shapes; comments are cut out before."""
-    code = re.sub(r"/\*.*?\*/", lambda m: "\n" * m[0].count("\n"), text, flags=re.S)
+    # comments and texts over several lines leave their line feeds only; a comment of one line can't begin with a definition
+    code = re.sub(r"/\*.*?\*/|\"{3}.*?\"{3}|'{3}.*?'{3}|`[^`]*`", lambda m: "\n" * m[0].count("\n"), text, flags=re.S)
     out = []
     parent: tuple[int, str] | None = None
     for m in DEFINITIONS.finditer(code):
@@ -344,3 +345,78 @@ def interface_objects(text: str) -> list[tuple]:
             elif kind == "enum" and (p := re.match(r"([A-Z_]\w*)\b", f)):
                 out.append(("value", p[1], name, None, None))
     return out
+
+
+# what tells the engine that a schema was written for; the first that is found holds
+ENGINES = (
+    ("mysql", r"(?i)\bENGINE\s*=\s*\w+|\bAUTO_INCREMENT\b|`\w+`\s*\."), ("postgresql", r"(?i)\b(?:BIG|SMALL)?SERIAL\b|\$\$|::\w+|\bJSONB\b|\bRETURNING\b|\bLANGUAGE\s+plpgsql\b"), ("sqlserver", r"(?i)\bIDENTITY\s*\(|\bNVARCHAR\b|^\s*GO\s*$|\[dbo\]"),
+    ("oracle", r"(?i)\bVARCHAR2\b|\bNUMBER\s*\(|\bSYSDATE\b"), ("sqlite", r"(?i)\bAUTOINCREMENT\b|\bPRAGMA\b|\bWITHOUT\s+ROWID\b"), ("hive", r"(?i)\bSTORED\s+AS\b|\bPARTITIONED\s+BY\b|\bTBLPROPERTIES\b"), ("bigquery", r"(?i)\bSTRUCT\s*<|\bOPTIONS\s*\("), ("snowflake", r"(?i)\bVARIANT\b|\bTRANSIENT\s+TABLE\b"), ("sql", r"(?i)\bCREATE\s+(?:OR\s+REPLACE\s+)?(?:TABLE|VIEW|INDEX)\b"),
+)
+
+
+def engine_of(text):
+    """The engine of a schema as a Column; null where it defines nothing."""
+    out = None
+    for name, rx in ENGINES:
+        out = F.when(text.rlike("(?m)" + rx), name) if out is None else out.when(text.rlike("(?m)" + rx), name)
+    return out
+
+
+def properties(text: str) -> list[tuple]:
+    """Settings of a properties file: keys up to '=', ':' or a blank; lines that end in a backslash go on."""
+    out = []
+    for line in re.sub(r"\\\r?\n[ \t]*", "", text).splitlines():
+        if (m := re.match(r"\s*((?:\\.|[^\s=:#!\\])+)\s*(?:[=:]|\s)\s*(.*?)\s*$", line)) and line.strip()[:1] not in "#!":
+            out.append(("properties", m[1], m[2], _typed(m[2]), m[1].count(".")))
+    return out
+
+
+def hcl(text: str) -> list[tuple]:
+    """Settings of an HCL file: the path of blocks with their labels, and each argument in them."""
+    out, path = [], []
+    for line in re.sub(r"/\*.*?\*/", "", text, flags=re.S).splitlines():
+        line = re.sub(r"(?:^|\s)(?:#|//).*$", "", line).strip()
+        if line == "}" or line == "},":
+            path = path[:-1]
+        elif m := re.match(r'([\w-]+)((?:\s+(?:"[^"]*"|[\w-]+))*)\s*=?\s*\{$', line):
+            path = [*path, ".".join([m[1], *re.findall(r"[\w./-]+", m[2])])]
+        elif m := re.match(r"([\w.-]+)\s*=\s*(.+)$", line):
+            out.append(("hcl", ".".join([*path, m[1]]), m[2].strip().strip('"'), _typed(m[2].strip().strip('"')), len(path)))
+    return out
+
+
+def xml_settings(text: str) -> list[tuple]:
+    """Settings of an XML file: the path of every element with a text of its own, and of every attribute. Definitions of entities are refused."""
+    import xml.etree.ElementTree as ET
+
+    if re.search(r"<!(?:DOCTYPE|ENTITY)", text, re.I):
+        raise ValueError("document type definitions aren't read")
+    out: list[tuple] = []
+
+    def walk(e, path: str, depth: int) -> None:
+        here = f"{path}.{e.tag.rsplit('}', 1)[-1]}" if path else e.tag.rsplit("}", 1)[-1]
+        out.extend(("xml", f"{here}.@{k.rsplit('}', 1)[-1]}", v, _typed(v), depth) for k, v in e.attrib.items())
+        if (e.text or "").strip():
+            out.append(("xml", here, e.text.strip(), _typed(e.text.strip()), depth))
+        for c in e:
+            walk(c, here, depth + 1)
+
+    try:
+        walk(ET.fromstring(text), "", 0)
+    except ET.ParseError as err:
+        raise ValueError(str(err)) from None
+    return out
+
+
+# The kinds that symbols of all languages are put into.
+SYMBOL_KINDS = {"import": "imports", "class": "types", "interface": "types", "function": "functions", "method": "functions", "variable": "variables", "constant": "variables"}
+
+
+def flowcharts(symbols: DataFrame, key: str) -> DataFrame:
+    """(key, chart): per file a flow chart of its symbols (kind, name, parent) as text: the file, its kinds, and what belongs to what."""
+    kind = F.create_map(*[F.lit(x) for kv in SYMBOL_KINDS.items() for x in kv])
+    s = symbols.select(key, "name", F.coalesce(F.get(F.map_values(F.map_filter(kind, lambda k, _: k == F.col("kind"))), F.lit(0)), F.lit("others")).alias("kind"), F.col("parent"))
+    safe = lambda c: F.regexp_replace(c, r"[^\w]", "_")
+    edge = F.when(F.col("parent").isNotNull(), F.concat(F.lit("  "), safe("parent"), F.lit(" --> "), safe("name"))).otherwise(F.concat(F.lit("  "), F.col("kind"), F.lit(" --> "), safe("name")))
+    lines = s.select(key, F.explode(F.array(edge, F.concat(F.lit("  file --> "), "kind"))).alias("line"))
+    return lines.groupBy(key).agg(F.array_sort(F.collect_set("line")).alias("l")).select(key, F.concat(F.lit("flowchart TD\n"), F.array_join("l", "\n")).alias("chart"))  # of one file

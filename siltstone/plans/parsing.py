@@ -15,6 +15,7 @@ from siltstone.plans.data import ORACLE as DATA_ORACLE
 from siltstone.plans.views import catalog
 from siltstone.session import scratch, spread, table
 from siltstone.sources.files import byte_entropy, ordered_ids, read
+from siltstone.sources.formats import analyzer_of
 from siltstone.streaming import changes as C
 
 QUERIES: dict = {}
@@ -37,11 +38,11 @@ def _sources(spark, d, *suffixes) -> DataFrame:
     return table(spark, d, "file_texts").join(f, "file_id").join(e, F.expr("file_extension_id = extension_id")).select("file_id", "file_name", "extension_name", "text")
 
 
-@query("""SELECT CASE WHEN x IN ('.sql') THEN 'schema' WHEN x IN ('.json', '.yaml', '.ini', '.env') THEN 'config' WHEN x = '.md' THEN 'markup' WHEN x = '.sh' THEN 'shell' WHEN x IN ('.py', '.js', '.ts', '.java', '.go', '.c', '.h', '.rb', '.css') THEN 'code' ELSE 'misc' END AS route, count(*) AS files
+@query("""SELECT CASE WHEN x = '.sql' THEN 'schema' WHEN x = '.json' THEN 'data' WHEN x IN ('.yaml', '.ini', '.env') THEN 'config' WHEN x = '.md' THEN 'markup' WHEN x = '.sh' THEN 'shell' WHEN x IN ('.py', '.js', '.ts', '.java', '.go', '.c', '.h', '.rb', '.css') THEN 'code' ELSE 'misc' END AS route, count(*) AS files
 FROM (SELECT DISTINCT file_id, extension_name AS x FROM file_details JOIN file_extensions ON file_extension_id = extension_id) GROUP BY 1""")
 def routing(spark, d):
     f = table(spark, d, "file_details").select("file_id", "file_extension_id").distinct().join(table(spark, d, "file_extensions"), F.expr("file_extension_id = extension_id"))
-    return f.groupBy(X.route(F.col("extension_name")).alias("route")).agg(F.count("*").alias("files"))
+    return f.groupBy(analyzer_of(F.concat(F.lit("name"), "extension_name")).alias("route")).agg(F.count("*").alias("files"))
 
 
 @query()
@@ -119,11 +120,22 @@ def export_formats(spark, d):
     return out
 
 
-@query("SELECT 'customer' AS name, count(*) AS rows FROM customer UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'files', count(*) FROM (SELECT DISTINCT file_id, file_name, file_extension_id, size, units FROM file_details)")
+_TABLES = "region nation customer supplier part orders lineitem events documents embeddings folder_details file_details file_folder_lineage token_locations token_registry grep_pattern_catalog change_events file_state file_texts file_extensions eval_items mix_targets".split()
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS rows FROM {n}" for n in _TABLES))
 def table_counts(spark, d):
+    """The rows of every table of the folder, in one union of counts that footers answer."""
     c = catalog(spark, d)
-    c.tables = {k: c.tables[k] for k in ("customer", "nation", "files", "file_details")}
-    return c.counts().where("name <> 'file_details'")
+    c.tables = {k: c.tables[k] for k in _TABLES}
+    return c.counts()
+
+
+@query("""SELECT CASE WHEN regexp_matches(text, '(?i)\\bENGINE\\s*=\\s*\\w+|\\bAUTO_INCREMENT\\b') THEN 'mysql' WHEN regexp_matches(text, '(?i)\\b(?:BIG|SMALL)?SERIAL\\b|\\$\\$|::\\w+|\\bJSONB\\b|\\bRETURNING\\b') THEN 'postgresql' WHEN regexp_matches(text, '(?i)\\bIDENTITY\\s*\\(|\\bNVARCHAR\\b') THEN 'sqlserver' WHEN regexp_matches(text, '(?i)\\bVARCHAR2\\b|\\bNUMBER\\s*\\(') THEN 'oracle' WHEN regexp_matches(text, '(?i)\\bAUTOINCREMENT\\b|\\bPRAGMA\\b') THEN 'sqlite'
+WHEN regexp_matches(text, '(?i)\\bCREATE\\s+(?:OR\\s+REPLACE\\s+)?(?:TABLE|VIEW|INDEX)\\b') THEN 'sql' END AS engine, count(*) AS files FROM file_texts t JOIN (SELECT file_id, max(file_extension_id) AS e FROM file_details GROUP BY 1) f USING (file_id) JOIN file_extensions ON extension_id = e WHERE extension_name = '.sql' GROUP BY 1""")
+def schema_engines(spark, d):
+    s = _sources(spark, d, ".sql").dropDuplicates(["file_id"])
+    return s.groupBy(X.engine_of(F.col("text")).alias("engine")).agg(F.count("*").alias("files"))
 
 
 @query("SELECT r_name, count(*) AS nations FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey > 3 GROUP BY 1")

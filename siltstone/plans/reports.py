@@ -533,3 +533,21 @@ def unified_sources(spark, d):
     x = spark.createDataFrame(rows, "source string, kind string")
     n = lambda k: F.sum(F.when(F.col("kind") == k, 1).otherwise(0)).alias(k + "s")
     return x.groupBy("source").agg(n("table"), n("view")).orderBy("source")
+
+
+# -- one row per document -----------------------------------------------------------------------------------------------------
+def _joined(*names: str) -> str:
+    return " ".join(f"LEFT JOIN ({ORACLE['view_' + n]}) {n} ON {n}.document_id = d.doc_id" for n in names)
+
+
+@view("document_metrics", f"SELECT d.doc_id AS document_id, coalesce(chunk_stats.chunk_count, 0) AS chunk_count, coalesce(e.n, 0) AS entity_count, r.score AS flesch_reading_ease, coalesce(i.n, 0) AS issues FROM documents d {_joined('chunk_stats')} LEFT JOIN (SELECT document_id, sum(n)::bigint AS n FROM ({ORACLE['view_entity_counts']}) GROUP BY 1) e ON e.document_id = d.doc_id LEFT JOIN (SELECT * FROM ({ORACLE['view_readability']}) WHERE formula = 'flesch_reading_ease') r ON r.document_id = d.doc_id LEFT JOIN (SELECT document_id, count(*) AS n FROM ({ORACLE['view_dynamic_reasoning_issues']}) GROUP BY 1) i ON i.document_id = d.doc_id")
+def document_metrics(spark, d):
+    """The assembled row of each document: chunks, entities, readability and open issues."""
+    x = documents(spark, d).select("document_id")
+    c = chunk_stats(spark, d).select("document_id", "chunk_count")
+    e = entity_rows(spark, d).groupBy("document_id").agg(F.count("*").alias("entity_count"))
+    r = readability_of(spark, d).where("formula = 'flesch_reading_ease'").select("document_id", F.col("score").alias("flesch_reading_ease"))
+    i = dynamic_reasoning_issues(spark, d).groupBy("document_id").agg(F.count("*").alias("issues"))
+    for part in (c, e, r, i):
+        x = x.join(part, "document_id", "left")
+    return x.fillna(0, ["chunk_count", "entity_count", "issues"])

@@ -24,14 +24,48 @@ from pyspark.sql import functions as F
 SEPARATORS = ",\t;|"
 
 
-def census(spark: SparkSession, root: str, exclude: str | None = None) -> DataFrame:
-    """(rel_path, name, suffix, size, modified, sha256) of all files below ``root``; ``exclude`` is a pattern on rel_path."""
+def relative_path(root: str):
+    """The path of a file below ``root`` as a Column over ``path``."""
     base = root.removeprefix("file://").rstrip("/")
+    return F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^" + re.escape(base) + "/", "")
+
+
+# names of folders that hold nothing of a repository's own, and are left out unless asked for
+PRUNED = (".git", ".hg", ".svn", "__pycache__", ".venv", "node_modules", ".tox", ".mypy_cache", ".pytest_cache")
+
+
+def matches(rel, signatures: list[str]):
+    """Does a path match any signature: a suffix ('.py'), a name ('Makefile', or a folder 'docs/'), or a pattern ('re:…')?"""
+    name, out = F.regexp_extract(rel, r"([^/]*)$", 1), F.lit(False)
+    for s in signatures:
+        if s.startswith("re:"):
+            out |= rel.rlike(s[3:])
+        elif s.endswith("/"):
+            out |= F.concat(F.lit("/"), rel).contains("/" + s)
+        elif s.startswith("."):
+            out |= F.lower(name).endswith(s.lower())
+        else:
+            out |= name == s
+    return out
+
+
+def census(spark: SparkSession, root: str, exclude: str | None = None, only: list[str] | None = None, without: list[str] | None = None, pruned: tuple[str, ...] = PRUNED, hashed: int | None = None) -> DataFrame:
+    """(rel_path, name, suffix, size, modified, sha256) of all files below ``root`` outside ``pruned`` folders.
+
+    ``exclude`` is a pattern on rel_path; ``only`` and ``without`` are signatures (see ``matches``). What is left out is not opened; files of
+    more than ``hashed`` bytes have a null hash and aren't either."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    rel = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^" + re.escape(base) + "/", "")
-    f = f.select(rel.alias("rel_path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"))
+    rel = relative_path(root)
+    keep = ~F.arrays_overlap(F.split(rel, "/"), F.array(*map(F.lit, pruned))) if pruned else F.lit(True)
+    for cond in ([~rel.rlike(exclude)] if exclude else []) + ([matches(rel, only)] if only else []) + ([~matches(rel, without)] if without else []):
+        keep &= cond
+    f = f.where(keep)
+    cols = [rel.alias("rel_path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified")]
+    if hashed is None:
+        f = f.select(*cols, F.sha2("content", 256).alias("sha256"))
+    else:
+        f = f.where(F.col("length") <= hashed).select(*cols, F.sha2("content", 256).alias("sha256")).unionByName(f.where(F.col("length") > hashed).select(*cols, F.lit(None).cast("string").alias("sha256")))
     f = f.withColumn("name", F.regexp_extract("rel_path", r"([^/]*)$", 1)).withColumn("suffix", F.lower(F.regexp_extract("name", r"[^.](\.[^.]+)$", 1)))
-    f = f.where(~F.col("rel_path").rlike(exclude)) if exclude else f
     return f.select("rel_path", "name", "suffix", "size", "modified", "sha256")
 
 
