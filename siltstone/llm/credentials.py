@@ -302,9 +302,8 @@ def confirmed(index: DataFrame, texts: DataFrame, owner_share: float = 0.001, le
     # only literals that are candidates are counted; one literal may stand in most files, so its rows are spread
     plain = salted_join(literal_index(texts), values.select("h").distinct(), "h", "file_id", "left_semi").select("h", "file_id")
     owners = plain.unionByName(index.select(F.xxhash64("value").alias("h"), "file_id")).distinct().groupBy("h").agg(F.count("*").alias("owners"))
-    files = pick(texts, "file_id").where("file_id is not null").agg(F.count("*").alias("n"))  # one row
-    limit = F.greatest(F.lit(least_owners), F.col("n") * F.lit(owner_share))
-    return values.join(owners, "h").join(F.broadcast(files)).where(F.col("strong") | (F.col("owners") <= limit)).select("value", "owners")
+    limit = max(least_owners, owner_share * pick(texts, "file_id").where("file_id is not null").count())
+    return values.join(owners, "h").where(F.col("strong") | (F.col("owners") <= limit)).select("value", "owners")
 
 
 def find_credentials(texts: DataFrame, owner_share: float = 0.001, least_owners: int = 12, block: int = 200_000, index: DataFrame | None = None) -> DataFrame:

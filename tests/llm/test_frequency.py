@@ -66,6 +66,7 @@ def test_empty_and_very_long(spark):
 def test_document_terms_are_words_of_any_script(spark, tmp_path):
     from collections import Counter
 
+    from siltstone.llm.queries import QUERIES
     from siltstone.plans import registry
 
     texts = ["Für größe Für die Größe", "l'été où l'été est", "größe señor größe für", "x 1,234.5", ""]
@@ -76,7 +77,7 @@ def test_document_terms_are_words_of_any_script(spark, tmp_path):
         grams = [[tuple(d[i : i + n]) for i in range(len(d) - n + 1)] for d in docs]
         occ, recs = Counter(g for d in grams for g in d), Counter(g for d in grams for g in set(d))
         want.add((n, len(occ), sum(occ.values()), max(occ.values()), max(recs.values())))
-    got = registry.queries()["p2_document_ngrams"](spark, str(tmp_path))
+    got = QUERIES["p2_document_ngrams"](spark, str(tmp_path))
     assert {(r["n"], r["grams"], r["occurrences"], r["top_occurrences"], r["top_records"]) for r in got.collect()} == want
     top = {r["token"]: r["documents"] for r in registry.queries()["top_terms"](spark, str(tmp_path)).collect()}
     assert top == {"für": 2, "größe": 2, "die": 1, "l'été": 1, "est": 1, "señor": 1, "1,234.5": 1}
