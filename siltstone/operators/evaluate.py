@@ -166,21 +166,32 @@ def bleu(pred: str, gold: str, most: int = 4) -> float:
     return (1.0 if len(p) > len(g) else math.exp(1 - len(g) / len(p))) * math.exp(logs / most)
 
 
-def rouge(pred: str, gold: str, n: int = 1) -> float:
+def overlap(hit: int, pred: int, gold: int) -> tuple[float, float, float]:
+    """(precision, recall, F1) of a number of hits."""
+    p, r = (hit / pred if pred else 0.0), (hit / gold if gold else 0.0)
+    return p, r, 2 * p * r / (p + r) if hit else 0.0
+
+
+def rouge_scores(pred: str, gold: str, n: int = 1) -> tuple[float, float, float]:
     p, g = _grams(_words(pred), n), _grams(_words(gold), n)
-    hit = sum((p & g).values())
-    a, b = hit / max(1, sum(p.values())), hit / max(1, sum(g.values()))
-    return 2 * a * b / (a + b) if hit else 0.0
+    return overlap(sum((p & g).values()), sum(p.values()), sum(g.values()))
 
 
-def rouge_l(pred: str, gold: str) -> float:
+def rouge_l_scores(pred: str, gold: str) -> tuple[float, float, float]:
     p, g = _words(pred), _words(gold)
     row = np.zeros(len(g) + 1, dtype=np.int64)
     y = np.array([hash(x) for x in g])
     for x in p:
         row = np.concatenate(([0], np.maximum.accumulate(np.maximum(row[1:], np.where(y == hash(x), row[:-1] + 1, 0))))) if len(g) else row
-    n = int(row[-1])
-    return 2 * n / (len(p) + len(g)) if n else 0.0
+    return overlap(int(row[-1]), len(p), len(g))
+
+
+def rouge(pred: str, gold: str, n: int = 1) -> float:
+    return rouge_scores(pred, gold, n)[2]
+
+
+def rouge_l(pred: str, gold: str) -> float:
+    return rouge_l_scores(pred, gold)[2]
 
 
 def chrf(pred: str, gold: str, most: int = 6, beta: float = 2.0) -> float:
@@ -221,14 +232,14 @@ def anls(pred: str, gold: str, tau: float = 0.5) -> float:
 
 
 def pair_metrics(pairs: DataFrame) -> DataFrame:
-    """pairs (id, pred, gold) with cer, wer, bleu, meteor, chrf, rouge1, rouge2, rouge_l and anls; null texts count as empty.
+    """pairs (id, pred, gold) with cer, wer, bleu, meteor, chrf, anls, and precision, recall and F1 of rouge1, rouge2 and rouge_l; null texts count as empty.
 
     Distances of characters stay in the JVM; what needs words runs by Arrow batches."""
     flat = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
     p, g = flat(F.col("pred")), flat(F.col("gold"))
     cer = F.when(g == "", (p != "").cast("double")).otherwise(F.levenshtein(p, g) / F.length(g))
     near = F.coalesce(F.levenshtein(F.lower(p), F.lower(g)) / F.nullif(F.greatest(F.length(p), F.length(g)), F.lit(0)), F.lit(0.0))
-    names = ["wer", "bleu", "meteor", "chrf", "rouge1", "rouge2", "rouge_l"]
+    names = ["wer", "bleu", "meteor", "chrf", *(f"{m}_{k}" for m in ("rouge1", "rouge2", "rouge_l") for k in ("precision", "recall", "f1"))]
 
     def run(batches):
         for b in batches:
@@ -237,7 +248,7 @@ def pair_metrics(pairs: DataFrame) -> DataFrame:
                 p, g = p or "", g or ""
                 w = _squash(g).split()
                 wer = edit_distance(_squash(p).split(), w) / len(w) if w else float(bool(p.split()))
-                rows.append((i, c, a, wer, bleu(p, g), meteor(p, g), chrf(p, g), rouge(p, g, 1), rouge(p, g, 2), rouge_l(p, g)))
+                rows.append((i, c, a, wer, bleu(p, g), meteor(p, g), chrf(p, g), *rouge_scores(p, g, 1), *rouge_scores(p, g, 2), *rouge_l_scores(p, g)))
             yield pd.DataFrame(rows, columns=["id", "cer", "anls", *names])
 
     x = respread(pairs.select("id", "pred", "gold"), "id").select("id", "pred", "gold", cer.alias("cer"), F.when(near < 0.5, 1 - near).otherwise(0.0).alias("anls"))

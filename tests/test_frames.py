@@ -1,6 +1,7 @@
 """Small relational operators, line differences, logs, concordance and enrichment on small frames with nulls, ties and clashing names."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from siltstone.operators import concordance as C
 from siltstone.operators import enrich as E
@@ -121,3 +122,21 @@ def test_enrichment(spark):
 def test_families(spark, ext, cls, family):
     d = spark.createDataFrame([(ext, cls)], "e string, c string")
     assert d.select(C.content_family(d.e, d.c)).first()[0] == family
+
+
+def test_entities_of_all_categories(spark):
+    from siltstone.functions import scalars as S
+
+    t = "Call +49 (30) 123-4567 on March 3, 2024. ISBN 978-3-16-148410-0, ISBN 978-3-16-148410-1, DE89370400440532013000, DE89370400440532013001, 2024-03-03, 5 %, 10.1000/xyz, a@b.org"
+    d = spark.createDataFrame([(t,), (None,), ("",)], "t string")
+    got = {}
+    for r in d.select(F.inline(S.entities(d.t))).collect():
+        got.setdefault(r["category"], []).append(r["value"].strip())
+    assert got["iban"] == ["DE89370400440532013000"] and [v for v in got["isbn"] if "148410" in v] and all("410-1" not in v for v in got["isbn"])
+    assert got["date_written"] == ["March 3, 2024"] and any("123-4567" in v for v in got["phone"]) and got["doi"] == ["10.1000/xyz"] and len(S.ENTITIES) == 16
+
+
+def test_rouge_has_precision_and_recall():
+    from siltstone.operators.evaluate import rouge_l_scores, rouge_scores
+
+    assert rouge_scores("the cat", "the cat ran off") == (1.0, 0.5, 2 / 3) and rouge_l_scores("a x b y", "a b") == (0.5, 1.0, 2 / 3) and rouge_scores("", "x") == (0.0, 0.0, 0.0)

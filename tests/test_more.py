@@ -23,7 +23,7 @@ def test_every_pattern_of_lost_shards():
 def test_scrub_and_markup(spark):
     t = spark.createDataFrame([("card 4111 1111 1111 1111 no 4111 1111 1111 1112 \u0000 a@b.org",), (None,), ("<div><p>x<br/></p></div><a>y</a><script>",)], "t string")
     r = [x[0] for x in t.select(S.scrub(F.col("t"))).collect()]
-    assert r[0] == "card [REDACTED:card] no 4111 1111 1111 1112  [REDACTED:email]" and r[1] is None
+    assert r[0] == "card [REDACTED:cc] no 4111 1111 1111 1112  [REDACTED:email]" and r[1] is None
     m = S.markup_counts(F.col("t"))
     assert t.select(*[m[k] for k in ("tags", "distinct_tags", "scripts", "links", "depth")]).collect()[2][:] == (5, 5, 1, 1, 2)
 
