@@ -69,3 +69,56 @@ def test_pair_scores_cross_blocks_of_ids(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["id"]: r["cer"] for r in registry.queries()["pair_scores"](spark, str(tmp_path)).collect()}
     assert got == {1: 1.0, 5: 0.0, 70: 1.0, 71: 0.0}
+
+
+def test_batched_alignments_against_single_ones():
+    from siltstone.operators import alignments as A
+    from siltstone.operators import evaluate as V
+
+    rng = random.Random(5)
+    pairs = []
+    for _ in range(150):
+        kinds = rng.choice([1, 2, 5, 300, 3000])
+        text = lambda: "".join(chr(rng.randrange(65, 65 + kinds)) for _ in range(rng.choice([0, 1, 5, 62, 63, 64, 126, 251, 252, 253])))  # noqa: B023, E731
+        a = text()
+        pairs.append((a, text() if rng.random() < 0.5 else a[: rng.randrange(len(a) + 1)] + text()[:5] + a[-30:]))
+    coded = A.char_codes(pairs)
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = list(itertools.accumulate(range(len(b)), lambda left, j: max(left, row[j + 1], row[j] + (x == b[j])), initial=0))
+        return row[-1]
+
+    distances, lengths = [V.edit_distance(a, b) for a, b in pairs], [common(a, b) for a, b in pairs]
+    saved = A.WORDS, A.CELLS, A.FEW
+    try:
+        for A.WORDS, A.CELLS, A.FEW in ((8192, 1 << 22, 0), (9, 1 << 22, 0), (8192, 3000, 0), (8192, 1 << 22, 1e9), saved):
+            assert A.edit_distances(coded) == distances and A.common_lengths(coded) == lengths
+    finally:
+        A.WORDS, A.CELLS, A.FEW = saved
+    assert A.gram_hits(coded, 6, 999).tolist() == [[sum((V._grams(a, n) & V._grams(b, n)).values()) for n in range(1, 7)] for a, b in pairs]
+
+
+def test_pair_metrics_equal_single_ones_in_time(spark):
+    import time
+
+    from siltstone.operators import evaluate as V
+
+    odd = [("", ""), (None, "a"), ("a b", None), ("  A\tb\n", "a B"), (" x y ", "x y"), ("ΑΣ İx", "ας i̇x"), ("Same TEXT here", "same text here"), ("aaaa", "aa"), ("日本語 😀", "日本 😀語")]
+    rng = random.Random(6)
+    text = lambda n: " ".join(rng.choice(["row", "Queue", "hash", "of", "a", "batch", "ring", "7"]) for _ in range(n))
+    long = [(text(1200), text(1200)) for _ in range(400)]
+    began = time.time()
+    got = {r["id"]: r for r in V.pair_metrics(spark.createDataFrame([(i, *x) for i, x in enumerate(odd + long)], "id long, pred string, gold string")).collect()}
+    took = time.time() - began
+    assert len(got) == len(odd) + len(long)
+    for i, (p, g) in enumerate(odd + long[:3]):
+        p, g, r = p or "", g or "", got[i]
+        words = V._squash(g).split()
+        want = {"wer": V.edit_distance(V._squash(p).split(), words) / len(words) if words else float(bool(p.split())), "bleu": V.bleu(p, g), "meteor": V.meteor(p, g), "chrf": V.chrf(p, g)}
+        for name, x in (("rouge1", V.rouge_scores(p, g, 1)), ("rouge2", V.rouge_scores(p, g, 2)), ("rouge_l", V.rouge_l_scores(p, g))):
+            want |= dict(zip((f"{name}_precision", f"{name}_recall", f"{name}_f1"), x))
+        assert {k: r[k] for k in want} == want, i
+    assert got[6]["cer"] == pytest.approx(5 / 14) and [got[i]["anls"] for i in (0, 1, 3, 6, 7)] == [1.0, 0.0, 1.0, 1.0, 0.0]
+    assert took < 30
